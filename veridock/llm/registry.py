@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veridock.llm.op4 import op4_quality_classifier
+from veridock.llm.op7 import op7_language_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_quality_classifier,)}
+    return {f.__name__: f for f in (op4_quality_classifier, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
