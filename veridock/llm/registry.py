@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veridock.llm.op10 import op10_toxicity
 from veridock.llm.op4 import op4_quality_classifier
 from veridock.llm.op7 import op7_language_id
 
@@ -13,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_quality_classifier, op7_language_id)}
+    return {f.__name__: f for f in (op4_quality_classifier, op7_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
