@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veridock.llm.op10 import op10_toxicity
 from veridock.llm.op4 import op4_quality_classifier
+from veridock.llm.op6 import ORACLE as OP6_SQL
+from veridock.llm.op6 import op6_minhash_near_dedup
 from veridock.llm.op7 import op7_language_id
 from veridock.llm.op9 import ORACLE as OP9_SQL
 from veridock.llm.op9 import op9_substring_dedup
@@ -16,8 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_quality_classifier, op7_language_id, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op4_quality_classifier, op6_minhash_near_dedup, op7_language_id, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": OP9_SQL}
+    return {"op6_minhash_near_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL}
