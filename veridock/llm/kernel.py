@@ -108,20 +108,26 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        out = np.empty(self.n, dtype=np.uint64)
-        at = 0
-        while at < self.n:
-            first = int(self.start[at])
-            to = int(np.searchsorted(self.end, first + _HASH_BYTES, side="right"))
-            to = max(to, at + 1)
-            last = int(self.end[to - 1])
-            power, inverse = _power_tables(last - first + 1)
-            sums = np.zeros(last - first + 1, dtype=np.uint64)
-            np.cumsum(_BYTE_CODES[self.buf[first:last]] * power[: last - first], out=sums[1:])
-            s, e = self.start[at:to] - first, self.end[at:to] - first
-            out[at:to] = (sums[e] - sums[s]) * inverse[s]
-            at = to
-        return mix(out)
+        return range_hashes(self.buf, self.start, self.end)
+
+
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range; ranges ascend and don't overlap."""
+    n = len(start)
+    out = np.empty(n, dtype=np.uint64)
+    at = 0
+    while at < n:
+        first = int(start[at])
+        to = int(np.searchsorted(end, first + _HASH_BYTES, side="right"))
+        to = max(to, at + 1)
+        last = int(end[to - 1])
+        power, inverse = _power_tables(last - first + 1)
+        sums = np.zeros(last - first + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_CODES[buf[first:last]] * power[: last - first], out=sums[1:])
+        s, e = start[at:to] - first, end[at:to] - first
+        out[at:to] = (sums[e] - sums[s]) * inverse[s]
+        at = to
+    return mix(out)
 
 
 def rolling(values: np.ndarray, width: int, salt: int = 0) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veridock.llm.op10 import op10_toxicity
+from veridock.llm.op3 import op3_token_counts
 from veridock.llm.op4 import op4_quality_classifier
 from veridock.llm.op6 import ORACLE as OP6_SQL
 from veridock.llm.op6 import op6_minhash_near_dedup
@@ -18,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_quality_classifier, op6_minhash_near_dedup, op7_language_id, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op3_token_counts, op4_quality_classifier, op6_minhash_near_dedup, op7_language_id, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
