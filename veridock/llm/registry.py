@@ -12,6 +12,7 @@ from veridock.llm.op4 import op4_quality_classifier
 from veridock.llm.op6 import ORACLE as OP6_SQL
 from veridock.llm.op6 import op6_minhash_near_dedup
 from veridock.llm.op7 import op7_language_id
+from veridock.llm.op8 import op8_decontamination
 from veridock.llm.op9 import ORACLE as OP9_SQL
 from veridock.llm.op9 import op9_substring_dedup
 
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op4_quality_classifier, op6_minhash_near_dedup, op7_language_id, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op3_token_counts, op4_quality_classifier, op6_minhash_near_dedup, op7_language_id, op8_decontamination, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
