@@ -13,6 +13,7 @@ from veridock.llm.op2 import op2_mixing
 from veridock.llm.op10 import op10_toxicity
 from veridock.llm.op3 import op3_token_counts
 from veridock.llm.op4 import op4_quality_classifier
+from veridock.llm.op5 import op5_url_filter
 from veridock.llm.op6 import ORACLE as OP6_SQL
 from veridock.llm.op6 import op6_minhash_near_dedup
 from veridock.llm.op7 import op7_language_id
@@ -24,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk_search, op2_mixing, op3_token_counts, op4_quality_classifier, op6_minhash_near_dedup, op7_language_id, op8_decontamination, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_topk_search, op2_mixing, op3_token_counts, op4_quality_classifier, op5_url_filter, op6_minhash_near_dedup, op7_language_id, op8_decontamination, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
