@@ -239,3 +239,27 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         parts.append(rows.mapInArrow(run, schema))
     out = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
     return out.withColumnsRenamed({"id": id_col, "item": item_id})
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6) -> DataFrame:
+    """Rows of ``docs`` that hold no passage of any item, with all their columns.
+
+    One filter for each block of items, chained without a shuffle; rows with a
+    null or empty text stay.
+    """
+    at = docs.columns.index(text_col)
+    out = docs
+    for block in item_blocks(items, item_id, item_text):
+        index = build_index(block)
+        if index is None:
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[row for row, *_ in match(shared.value, b.column(at), threshold)]] = False
+                yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

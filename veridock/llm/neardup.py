@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridock.llm import kernel
@@ -215,3 +215,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = profile.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 75) -> DataFrame:
+    """``docs`` with one row for each component: the one with the smallest id.
+    Of rows that repeat an id one stays; rows with a null id all stay."""
+    kept = near_duplicates(docs, id_col, text_col, width, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
+    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__kept"), "left_semi")
+    number = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`").cast("long")).orderBy(F.xxhash64(F.col(f"`{text_col}`").cast("string"))))
+    rows = rows.withColumn("__number", number).where("__number = 1").drop("__number")
+    return rows.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

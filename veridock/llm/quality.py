@@ -172,3 +172,17 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that score at least ``threshold``, with all their columns,
+    in one pass and without a shuffle.  Null and empty texts are judged by the
+    bias, which is the labels' share of good rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score(b.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
