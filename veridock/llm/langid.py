@@ -79,7 +79,7 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 @dataclass
 class Language:
     name: str
-    #: table[state * width + class] = next state * width, plus 1 where a phrase ended before this byte.
+    #: table[state * width + class] = next state * width, plus the phrases that end with this byte (0 to 2).
     table: np.ndarray
 
 
@@ -87,16 +87,17 @@ class Language:
 class LanguageModel:
     languages: list[Language]
     classes: np.ndarray  # class of each byte
-    width: int  # classes, rounded up to an even number
+    width: int  # classes, rounded up to a multiple of 4
 
     def phrases(self, pieces: np.ndarray, language: Language) -> np.ndarray:
         """Phrases of each column of a (steps, pieces) matrix of byte classes;
-        class 0 is padding, which stays where it is and ends no phrase."""
+        class 0 is padding, which stays where it is and ends no phrase.  The
+        phrase that a piece ends in isn't counted."""
         state = np.zeros(pieces.shape[1], dtype=np.int32)
         ended = np.zeros(pieces.shape[1], dtype=np.int32)
         for row in pieces:
             step = language.table[state + row]
-            over = step & 1
+            over = step & 3
             ended += over
             state = step - over
         return ended
@@ -150,7 +151,7 @@ def train(texts: dict[str, list[str]], sample_bytes: int = 60_000, total_bytes:
     # class 0 is padding, class 1 any byte that no sample has
     classes = np.ones(256, dtype=np.int32)
     classes[seen] = np.arange(2, 2 + len(seen))
-    width = (2 + len(seen)) + (len(seen) & 1)
+    width = -(-(2 + len(seen)) // 4) * 4
     languages = []
     for name, sample in raw.items():
         nxt = suffix_automaton(sample.tobytes())
@@ -158,11 +159,11 @@ def train(texts: dict[str, list[str]], sample_bytes: int = 60_000, total_bytes:
         for s, moves in enumerate(nxt):
             if moves:
                 table[s, classes[list(moves)]] = list(moves.values())
-        root = np.where(table[0] >= 0, table[0], 0)  # a byte unknown to the language is a phrase of its own
-        broken = table < 0
-        broken[0] = False
-        full = np.where(table >= 0, table, root[None, :]) * width + broken
-        full[0, table[0] < 0] = 1
+        # where a phrase breaks, the byte starts the next one; a byte unknown to the language is a phrase of its own
+        root = np.maximum(table[0], 0)
+        ended = np.where(table >= 0, 0, 1 + (table[0] < 0)[None, :])
+        ended[0] = table[0] < 0
+        full = np.where(table >= 0, table, root[None, :]) * width + ended
         full[:, 0] = np.arange(len(nxt)) * width
         languages.append(Language(name, full.astype(np.int32).ravel()))
     return LanguageModel(languages, classes, width)
