@@ -3,8 +3,10 @@
 Byte-level BPE never merges across pre-tokens, so a text's token count is the
 sum over its pre-tokens.  Texts are cut into pre-tokens with array operations;
 each chunk of texts yields, for every distinct pre-token, the texts it occurs
-in and how often.  Distinct pre-tokens of the whole corpus are tokenised once,
-joined to those frequencies, and summed per text.
+in and how often, packed by bucket of the pre-token's hash.  All chunks' rows
+of a bucket meet in one partition, where each distinct pre-token is tokenised
+once and joined to those frequencies; the sums travel back to the chunk.  A
+bucket gets one row from a chunk, whatever is frequent, so none becomes hot.
 
 The cutting rule is that of the byte-level pre-tokenizer with its own regular
 expression: contractions, runs of letters, of digits and of other characters,
@@ -15,11 +17,13 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,7 @@ from veridock.llm.scratch import materialise
 
 _CHUNK_BYTES = 8_000_000
 _CHUNK_TEXTS = 60_000
+_KNOWN = 1_500_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -130,20 +135,28 @@ def pretokens(buf: np.ndarray, text_at: np.ndarray, special: tuple[str, ...]) ->
     return byte_at[at], byte_at[end], np.searchsorted(char_at, at, side="right") - 1, extra
 
 
-_SCHEMA = "piece string, chunk long, texts binary, times binary, ids array<long>, sizes array<long>, base array<long>"
-_ARROW = pa.schema([("piece", pa.string()), ("chunk", pa.int64()), ("texts", pa.binary()), ("times", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("base", pa.list_(pa.int64()))])
+_SCHEMA = "bucket int, chunk long, blob binary, ids array<long>, sizes array<long>, base array<long>"
+_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("base", pa.list_(pa.int64()))])
 
 
-def _packed(kind: pa.DataType, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, which compress far better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def _frequencies(path: str):
-    """For each chunk one row with its ids, sizes and special strings, and one row
-    for each distinct pre-token: texts (uint16 places) and times (uint32)."""
+def _unplaned(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def _frequencies(path: str, buckets: int):
+    """For each chunk of texts one row with its ids, sizes and special strings, and
+    one row for each bucket of pre-tokens: their bytes, lengths and numbers of
+    texts, and the texts (places in the chunk) and times of each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = _special_strings(path)
+        pack = zstandard.ZstdCompressor(level=3).compress
         chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             buf, offsets = kernel.utf8(b.column(1))
@@ -154,69 +167,67 @@ def _frequencies(path: str):
                     own = buf[offsets[lo] : offsets[hi]]
                     start, end, text, extra = pretokens(own, text_at, special)
                     n = hi - lo
-                    _, first, piece = np.unique(kernel.range_hashes(own, start, end), return_index=True, return_inverse=True)
+                    code, first, piece = np.unique(kernel.range_hashes(own, start, end), return_index=True, return_inverse=True)
                     key, times = np.unique(piece * n + text, return_counts=True)
                     cuts = np.searchsorted(key, np.arange(len(first) + 1) * n)
                     length = (end - start)[first]
                     piece_at = np.concatenate([[0], np.cumsum(length)])
-                    source = np.arange(int(piece_at[-1])) - np.repeat(piece_at[:-1] - start[first], length)
-                    rows = len(first)
-                    none = pa.nulls(rows, pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays(
-                        [_packed(pa.string(), own[source], piece_at), pa.array(np.full(rows, chunk)), _packed(pa.binary(), (key % n).astype(np.uint16).view(np.uint8), cuts * 2), _packed(pa.binary(), times.astype(np.uint32).view(np.uint8), cuts * 4), none, none, none],
-                        schema=_ARROW,
-                    )
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([chunk]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([b.column(0)[lo:hi].to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(text_at)], pa.list_(pa.int64())), pa.array([extra], pa.list_(pa.int64()))], schema=_ARROW)
+                    data = own[np.arange(int(piece_at[-1])) - np.repeat(piece_at[:-1] - start[first], length)]
+                    texts, times = (key % n).astype(np.uint16), times.astype(np.uint32)
+                    bucket = ((code >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascends with the code
+                    used, at = np.unique(bucket, return_index=True)
+                    blobs = []
+                    for s, e in zip(at.tolist(), [*at[1:].tolist(), len(first)], strict=True):
+                        fields = (data[piece_at[s] : piece_at[e]].tobytes(), _planes(length[s:e].astype(np.uint32)), _planes(np.diff(cuts[s : e + 1]).astype(np.uint32)), _planes(texts[cuts[s] : cuts[e]]), _planes(times[cuts[s] : cuts[e]]))
+                        blobs.append(pack(pickle.dumps((n, *fields))))
+                    none = pa.nulls(len(used), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk)), pa.array(blobs, pa.binary()), none, none, none], schema=_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk]), pa.nulls(1, pa.binary()), pa.array([b.column(0)[lo:hi].to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(text_at)], pa.list_(pa.int64())), pa.array([extra], pa.list_(pa.int64()))], schema=_ARROW)
                     chunk += 1
 
     return run
 
 
-def _tokenise(path: str):
+def _bucket_sums(path: str):
+    """Joins the distinct pre-tokens of a bucket, each tokenised once, to the
+    frequencies of every chunk; yields tokens per text of the chunk.
+
+    A bucket has 1/buckets of the corpus's distinct pre-tokens; should they
+    exceed ``_KNOWN`` all the same, counts are forgotten and made again.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = getattr(_tokenizer(path), "encode_batch_fast", None) or _tokenizer(path).encode_batch
+        tokenizer = _tokenizer(path)
+        encode = getattr(tokenizer, "encode_batch_fast", None) or tokenizer.encode_batch
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        known: dict[bytes, int] = {}
         for b in batches:
-            pieces = b.column(0).to_pylist()
-            counts = [len(e.ids) for k in range(0, len(pieces), 2000) for e in encode(pieces[k : k + 2000], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["piece", "tokens"])
+            sums = []
+            for blob in b.column(1):
+                n, data, length, uses, texts, times = pickle.loads(unpack(blob.as_py()))
+                ends = np.cumsum(_unplaned(length, np.uint32)).tolist()
+                pieces = [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+                new = [p for p in pieces if p not in known]
+                if len(known) + len(new) > _KNOWN:
+                    known.clear()
+                    new = pieces
+                for k in range(0, len(new), 2000):
+                    part = new[k : k + 2000]
+                    known.update(zip(part, (len(e.ids) for e in encode([p.decode() for p in part], add_special_tokens=False)), strict=True))
+                tokens = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+                tokens = np.repeat(tokens, _unplaned(uses, np.uint32)) * _unplaned(times, np.uint32)
+                total = np.bincount(_unplaned(texts, np.uint16), tokens, n).astype(np.uint64)
+                sums.append(pack(_planes(total)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.binary())], ["chunk", "sums"])
 
     return run
 
 
-def _partial_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, texts, times, tokens) rows to sums per chunk and text."""
-    sums: dict[int, np.ndarray] = {}
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        keys = list(sums)
-        places = [np.flatnonzero(sums[k]).astype(np.uint16) for k in keys]
-        values = [sums[k][p] for k, p in zip(keys, places, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([p.tobytes() for p in places], pa.binary()), pa.array([v.astype(np.int64).tobytes() for v in values], pa.binary())], ["chunk", "texts", "sums"])
-
-    for b in batches:
-        for chunk, texts, times, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            place = np.frombuffer(texts, np.uint16)
-            own = sums.get(chunk)
-            if own is None or len(own) <= place[-1]:
-                grown = np.zeros(max(int(place[-1]) + 1, 4096), np.int64)
-                if own is not None:
-                    grown[: len(own)] = own
-                    held -= len(own)
-                held += len(grown)
-                sums[chunk] = own = grown
-            own[place] += tokens * np.frombuffer(times, np.uint32).astype(np.int64)
-        if held > 6_000_000:
-            yield flush()
-            sums, held = {}, 0
-    if sums:
-        yield flush()
-
-
 def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by chunk, the chunk's ids first: one row per text."""
     chunk, ids, sizes, total = None, None, None, None
     names = ["id", "n_bytes", "n_tokens"]
+    unpack = zstandard.ZstdDecompressor().decompress
 
     def result() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, sizes, pa.array(total)], names)
@@ -231,27 +242,28 @@ def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 if chunk != b.column(0)[i].as_py():
                     raise RuntimeError("a chunk's ids are missing")
-                total[np.frombuffer(b.column(4)[i].as_py(), np.uint16)] += np.frombuffer(b.column(5)[i].as_py(), np.int64)
+                total += _unplaned(unpack(b.column(4)[i].as_py()), np.uint64).astype(np.int64)
     if ids is not None:
         yield result()
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of ``docs``: UTF-8 bytes and tokens of
     the whole text as the tokenizer file gives them, without added special
     tokens.  A special string inside a text is one token, as is the library's
     default.  A null or empty text has no bytes and no tokens.  One output row
     per input row, repeated rows and null ids included; other columns aren't
-    read.  ``tokenizer_path`` must be readable on every executor.
+    read.  ``tokenizer_path`` must be readable on every executor; ``buckets``
+    (of pre-tokens) is the session's number of shuffle partitions.
     """
     _special_strings(tokenizer_path)
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = materialise(rows.mapInArrow(_frequencies(tokenizer_path), _SCHEMA), "pieces")
-    uses = table.where(F.col("piece").isNotNull()).select("piece", "chunk", "texts", "times")
-    counted = uses.select("piece").distinct().mapInArrow(_tokenise(tokenizer_path), "piece string, tokens long")
-    partial = uses.join(counted, "piece").select("chunk", "texts", "times", "tokens").mapInArrow(_partial_sums, "chunk long, texts binary, sums binary")
-    heads = table.where(F.col("ids").isNotNull()).select("chunk", "ids", "sizes", "base", F.lit(None).cast("binary").alias("texts"), F.lit(None).cast("binary").alias("sums"))
+    table = materialise(rows.mapInArrow(_frequencies(tokenizer_path, buckets), _SCHEMA), "pieces")
+    uses = table.where("bucket >= 0").select("bucket", "chunk", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    partial = uses.select("chunk", "blob").mapInArrow(_bucket_sums(tokenizer_path), "chunk long, sums binary")
+    heads = table.where("bucket < 0").select("chunk", "ids", "sizes", "base", F.lit(None).cast("binary").alias("sums"))
     none = F.lit(None).cast("array<long>")
-    both = heads.unionByName(partial.select("chunk", none.alias("ids"), none.alias("sizes"), none.alias("base"), "texts", "sums"))
+    both = heads.unionByName(partial.select("chunk", none.alias("ids"), none.alias("sizes"), none.alias("base"), "sums"))
     sorted_rows = both.repartition("chunk").sortWithinPartitions("chunk", F.col("ids").isNull())
     return sorted_rows.mapInArrow(_totals, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
