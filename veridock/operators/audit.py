@@ -1,0 +1,51 @@
+"""Scans of generated document trees: unsafe text and malformed front matter."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veridock.functions import text as T
+
+MAX_FILES, MAX_BYTES, MAX_TOTAL = 1000, 2 << 20, 20 << 20
+KNOWN_KEYS = ["name", "description", "allowed-tools", "license", "metadata", "version"]
+
+
+def findings(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(path, line, rule) for every line that meets a safety rule or holds invisible
+    characters.  Sort by path, line and rule to report."""
+    rows = files.select(F.col(path_col).alias("path"), F.posexplode(F.split(text_col, r"\r\n|[\n\r]")).alias("n", "line"))
+    invisible = F.when(T.removed_invisible(F.col("line")) > 0, F.lit("text.invisible_character"))
+    rules = F.array_compact(F.concat(T.safety_rules(F.regexp_replace("line", r"^\s*[-*+]\s+", "")), F.array(invisible)))
+    return rows.select("path", (F.col("n") + 1).alias("line"), F.explode(F.array_distinct(rules)).alias("rule"))
+
+
+def check_limits(files: DataFrame) -> None:
+    """Raises if a tree has too many or too large files (path, length)."""
+    r = files.agg(F.count("*").alias("n"), F.max("length").alias("m"), F.sum("length").alias("t")).first()
+    if r.n > MAX_FILES or (r.m or 0) > MAX_BYTES or (r.t or 0) > MAX_TOTAL:
+        raise ValueError(f"too large to scan: {r.n} files, largest {r.m}, total {r.t} bytes")
+
+
+def front_matter(files: DataFrame) -> DataFrame:
+    """(path, level, problem) of the front matter of each text."""
+    block = F.regexp_extract("text", r"(?s)^---\n(.*?)\n---", 1)
+    scalar = lambda key: F.nullif(F.trim(F.regexp_extract("block", rf"(?m)^{key}:[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1)), F.lit(""))
+    rows = files.select("path", "text", block.alias("block")).select("path", "text", "block", scalar("name").alias("name"), scalar("description").alias("description"))
+    keys = F.regexp_extract_all("block", F.lit(r"(?m)^([A-Za-z][\w-]*):"))
+    known = F.array(*[F.lit(k) for k in KNOWN_KEYS])
+    problem = lambda test, level, text: F.when(test, F.struct(F.lit(level).alias("level"), F.lit(text).alias("problem")))
+    found = F.array_compact(F.array(
+        problem(F.col("block") == "", "error", "no front matter"), problem((F.col("block") != "") & F.col("name").isNull(), "error", "no name"),
+        problem(F.length("name") > 64, "error", "name too long"), problem(~F.col("name").rlike("^[a-z0-9-]+$"), "error", "name has other characters"),
+        problem((F.col("block") != "") & F.col("description").isNull(), "error", "no description"), problem(F.length("description") > 1024, "error", "description too long"),
+        problem(F.size(F.array_except(keys, known)) > 0, "warning", "unknown key"), problem(F.size(F.split("text", "\n")) > 500, "warning", "more than 500 lines"),
+    ))
+    return rows.select("path", F.explode(found).alias("f")).select("path", "f.level", "f.problem")
+
+
+def generation_cost(tokens: DataFrame, units: int, technical: bool = False, input_price: float = 3.0, output_price: float = 15.0) -> DataFrame:
+    """Input and output tokens and price of a generation from one row per source."""
+    each = 1800 if technical else 1000
+    sums = tokens.agg(F.sum("tokens").alias("t")).select(F.ceil(F.col("t") * 1.3).alias("input_tokens"), F.lit(units * each + 4000 + 4500).cast("long").alias("output_tokens"))
+    return sums.withColumn("price", F.round(F.col("input_tokens") / 1e6 * input_price + F.col("output_tokens") / 1e6 * output_price, 4))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from veridock.functions import text as T
 from veridock.operators.claims import lines
@@ -53,33 +53,49 @@ ROMAN = {_roman(n): n for n in range(1, 201)}
 HAN = {s: n for n in range(1, 1000) for s in _han(n)}
 
 
-def _lookup(table: dict[str, int], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), key)
+_CANDIDATE = r"(?iU)^\s*(?:(?:#{1,6}|={1,6})\s|(?:" + "|".join(reversed(_CHAPTER_WORDS)) + r")\s*[\divxlcdm]|[ivxlcdm]+\s*[.:]\s|第|บท|ตอน|ภาค|제)"
+
+
+def _number_of(line: str) -> int | None:
+    import re
+
+    if len(line) > 80:
+        return None
+    m = re.match(_EXPLICIT.replace("(?iU)", "(?i)"), line)
+    if m and re.search(_TAIL, m.group(2)):
+        return int(m.group(1)) if m.group(1).isdigit() else ROMAN.get(m.group(1).upper())
+    m = re.match(_ROMAN_LINE, line) or re.match(_ROMAN_MARKED, line)
+    if m:
+        return ROMAN.get(m.group(1).upper())
+    m = re.match(_HAN_LINE, line) or re.match(_HAN_MARKED, line)
+    if m:
+        digits = m.group(1)
+        return (int(digits) if 1 <= int(digits) <= 999 else None) if digits.isdigit() else HAN.get(digits)
+    m = re.match(_THAI.replace("(?U)", ""), line) or re.match(_KOREAN, line)
+    return int(m.group(1)) if m else None
+
+
+def chapter_number_of(line: str) -> int | None:
+    """Number of the chapter that a line is the heading of, else None.  Eight
+    languages' chapter words with Arabic or Roman numbers, Roman heads, Chinese,
+    Thai and Korean headings, with or without a heading mark."""
+    import re
+
+    s = line.strip()
+    found = _number_of(s)
+    return found if found is not None or not re.match(_MARKER, s) else _number_of(re.sub(_MARKER, "", s, count=1))
 
 
-def _number(line: Column) -> Column:
-    got = lambda p, k=1: F.nullif(F.regexp_extract(line, p, k), F.lit(""))
-    explicit = F.when(F.regexp_extract(line, _EXPLICIT, 2).rlike(_TAIL), got(_EXPLICIT))
-    explicit_n = F.coalesce(explicit.try_cast("int"), _lookup(ROMAN, F.upper(explicit)))
-    roman = F.coalesce(got(_ROMAN_LINE), F.upper(got(_ROMAN_MARKED)))
-    wide = F.translate(F.coalesce(got(_HAN_LINE), got(_HAN_MARKED)), "０１２３４５６７８９", "0123456789")
-    thai = F.translate(got(_THAI), "๐๑๒๓๔๕๖๗๘๙", "0123456789")
-    number = (
-        F.when(line.rlike(_EXPLICIT) & explicit.isNotNull(), explicit_n)
-        .when(roman.isNotNull(), _lookup(ROMAN, roman))
-        .when(wide.isNotNull(), F.coalesce(F.when(wide.try_cast("int").between(1, 999), wide.try_cast("int")), _lookup(HAN, wide)))
-        .when(thai.isNotNull(), thai.try_cast("int"))
-        .otherwise(got(_KOREAN).try_cast("int"))
-    )
-    return F.when(F.length(line) <= 80, number)
+@F.pandas_udf(LongType())
+def _numbers(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda x: None if x is None else chapter_number_of(x)).astype("Int64")
 
 
-def chapter_number(line: Column) -> Column:
-    """Number of the chapter that a line is the heading of; null for other lines.
-    Eight languages' chapter words with Arabic or Roman numbers, Roman heads,
-    Chinese, Thai and Korean headings, with or without a heading mark."""
-    s = T.collapse(line)
-    return F.coalesce(_number(s), F.when(s.rlike(_MARKER), _number(F.regexp_replace(s, _MARKER, ""))))
+def chapter_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line_no, line, number) of the chapter headings.  Only lines that start
+    like a heading leave the JVM."""
+    rows = lines(docs, id_col, text_col).select("id", "line_no", "line").where(F.col("line").rlike(_CANDIDATE))
+    return rows.withColumn("number", _numbers("line")).where("number IS NOT NULL")
 
 
 def has_contents(text: Column) -> Column:
@@ -108,8 +124,7 @@ def detect(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, chapters, headings, has_contents): distinct chapter numbers, else the
     distinct headings of the shallowest depth with two of them, else all headings;
     the first ten chapter headings in order.  Null text has none of them."""
-    found = lines(docs, id_col, text_col).withColumn("number", chapter_number(F.col("line"))).where("number IS NOT NULL")
-    numbered = found.groupBy("id").agg(F.countDistinct("number").alias("numbered"), F.slice(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("t")))), 1, 10).alias("heads"))
+    numbered = chapter_lines(docs, id_col, text_col).groupBy("id").agg(F.countDistinct("number").alias("numbered"), F.slice(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("t")))), 1, 10).alias("heads"))
     by_depth = structural_headings(docs, id_col, text_col).groupBy("id", "depth").agg(F.countDistinct("title").alias("n"))
     level = by_depth.groupBy("id").agg(F.min_by(F.when(F.col("n") >= 2, F.col("n")), F.when(F.col("n") >= 2, F.col("depth"))).alias("shallow"), F.sum("n").alias("all"))
     base = docs.select(F.col(id_col).alias("id"), has_contents(F.col(text_col)).alias("has_contents"))
@@ -124,11 +139,12 @@ def discovery_cost(docs: DataFrame, id_col: str, text_col: str, core: int = 4000
     Segments start at chapter headings, segment 0 being what comes before.
     Returns (id, dump, front, best, loop, compiled, ratio)."""
     order = Window.partitionBy("id").orderBy("line_no")
-    rows = lines(docs, id_col, text_col).withColumn("segment", F.sum(F.when(chapter_number(F.col("line")).isNotNull(), 1).otherwise(0)).over(order))
+    heads = chapter_lines(docs, id_col, text_col).select("id", "line_no", F.lit(1).alias("head"))
+    rows = lines(docs, id_col, text_col).join(heads, ["id", "line_no"], "left").withColumn("segment", F.sum(F.coalesce("head", F.lit(0))).over(order))
     words = rows.groupBy("id", "segment").agg(F.sum(T.word_count(F.col("line"))).alias("w")).withColumn("tokens", F.floor(F.col("w") / F.lit(0.75)).cast("long"))
     per = words.groupBy("id").agg(
         F.floor(F.sum("w") / F.lit(0.75)).cast("long").alias("dump"), F.coalesce(F.max(F.when(F.col("segment") == 0, F.col("tokens"))), F.lit(0)).alias("front"),
-        F.coalesce(F.max_by(F.struct("segment", "tokens"), F.struct("tokens", -F.col("segment"))), F.struct(F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("target"),
+        F.coalesce(F.max_by(F.struct("segment", "tokens"), F.struct("tokens", -F.col("segment"))), F.struct(F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("tokens"))).alias("target"),
     )
     best = F.col("front") + F.col("target.tokens")
     return per.select(F.col("id").alias(id_col), "dump", "front", best.alias("best"), (best + F.col("target.tokens")).alias("loop"), F.lit(core + chapter).cast("long").alias("compiled"), F.round(F.col("dump") / F.lit(core + chapter), 1).alias("ratio"))
