@@ -469,6 +469,7 @@ _PAGE = (
     "regexp_replace({0}, '<[^>]*>', chr(2), 'g')",
     "regexp_replace({0}, '\\x01(\\s*[\\x01\\x02])*', chr(10), 'g')",
     "regexp_replace(regexp_replace(replace({0}, chr(2), ''), '^\\n', ''), '\\n$', '')",
+    "replace(replace({0}, '&copy;', '©'), '&middot;', '·')",
     "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')",
 )
 _PAGE_SQL = _PAGE[0]
