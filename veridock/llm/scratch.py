@@ -1,40 +1,5 @@
-"""Intermediate tables in the folder that the whole cluster shares.
+"""Intermediate tables in the folder that the whole cluster shares."""
 
-A written table cuts lineage and survives the loss of any executor.  The
-folder is the one the session names in ``spark.checkpoint.dir``; only a
-``local`` session without that setting (as in tests) gets a temporary folder.
-"""
+from veridock.plans.scratch import materialise, shared_dir
 
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of this session."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="veridock-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return _own[app]
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "shared_dir"]
