@@ -56,7 +56,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         masks = F.expr(f"filter(sequence(0, {(1 << SEGMENT) - 1}), x -> bit_count(x) = {radius})")  # folded to a constant
         probes = open_codes.select("q", F.posexplode("q").alias("segment", "own")).withColumn("mask", F.explode(masks)).select("q", "segment", F.expr("own ^ mask").alias("value"))
         apart = "transform(sequence(0, size(q) - 1), i -> bit_count(q[i] ^ code[i]))"
-        met = probes.join(index, ["segment", "value"]).withColumn("apart", F.expr(apart))
+        # probes multiply behind the planner's size estimate, so neither side may be broadcast
+        met = probes.hint("merge").join(index, ["segment", "value"]).withColumn("apart", F.expr(apart))
         first = F.expr(f"forall(sequence(0, size(q) - 1), i -> i = segment OR apart[i] > {radius} OR (i > segment AND apart[i] = {radius}))")
         found = met.where(first).select("q", F.expr("aggregate(apart, 0, (a, x) -> a + x)").alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
