@@ -1,24 +1,26 @@
-"""Benchmark decontamination: SimHash of item-sized windows.
+"""Benchmark decontamination: weighted Jaccard of item-sized windows.
 
 Words are runs of letters and digits (bytes above 127 count as letters), in
-lower case.  A passage that repeats an item closely enough shares a run of
-``ANCHOR`` words with it: at weighted similarity 0.6 fewer than one word in
-five can differ.  Where a document has such a run, the window of the item's
-size that lies where the item would lie is fingerprinted.
-
-Fingerprints are 128-bit SimHashes of the weighted ``SHINGLE``-word shingles.
-The items' fingerprints are cut into 8 blocks of 16 bits, and each block value
-is entered with all values within 3 bits of it.  Two fingerprints that differ
-in at most 31 bits agree within 3 bits in at least one block, so looking up
-the 8 blocks of a window finds every item within 31 bits.  The weighted
-Jaccard similarity of the shingle sets then decides exactly.
+lower case.  A window of an item's number of words (fewer where it hangs over
+an end of the text) holds a passage of the item if the weighted Jaccard
+similarity of their sets of ``SHINGLE``-word shingles reaches the threshold.
+
+Such a window holds shingles of the item that weigh at least the threshold
+times the item's whole weight.  All places of the items' shingles in a text
+are looked up, running sums over them show where a window can hold that much,
+and every window there is compared.  So no window is missed.  Weights are
+whole numbers (``UNIT`` is 1), which makes all sums exact.
+
+The 128-bit SimHashes (``prints``, ``within_radius``) take no part in this:
+at similarity 0.6 their distance scatters around 29 bits, so that no radius
+both bounds the candidates and keeps all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +35,9 @@ ANCHOR = 4
 BLOCKS = 8
 BLOCK_RADIUS = 3
 RADIUS = BLOCKS * BLOCK_RADIUS + BLOCKS - 1
+UNIT = 1 << 32
+#: Places of item shingles looked at together (and those of one item length before them).
+PLACES = 4_000_000
 #: Items indexed and broadcast at once; the documents are read once for each block of items.
 ITEM_BLOCK = 1024
 #: Bytes of a block of more than one item.
@@ -60,14 +65,30 @@ class ItemIndex:
     n_words: np.ndarray
     shingles: list[np.ndarray]  # distinct, sorted
     known: np.ndarray  # all distinct shingles, sorted
-    weights: np.ndarray
-    anchors: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # width: codes, CSR starts, item, place
-    prints: np.ndarray  # (items, 2)
-    blocks: list[tuple[np.ndarray, np.ndarray]]  # per block: CSR starts (65537), items
+    weights: np.ndarray  # of known, in UNITs
+    whole: np.ndarray  # weight of all shingles of an item
+    holders: tuple[np.ndarray, np.ndarray]  # CSR starts by known, items of at least ANCHOR words
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # number of words: codes, CSR starts, items
 
     def weight(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-        return np.where(self.known[at] == codes, self.weights[at], 1.0)
+        return np.where(self.known[at] == codes, self.weights[at], UNIT)
+
+    @cached_property
+    def prints(self) -> np.ndarray:
+        """(items, 2) SimHash of the items."""
+        n = np.array([len(x) for x in self.shingles])
+        return self.fingerprint(np.concatenate(self.shingles), np.cumsum(n) - n, np.cumsum(n))
+
+    @cached_property
+    def blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per block of the fingerprints: CSR starts (65537), items."""
+        out = []
+        for value in self.prints.view(np.uint16).reshape(len(self.ids), BLOCKS).T:
+            near = (value[:, None] ^ _NEAR[None, :]).ravel()
+            order = np.argsort(near, kind="stable")
+            out.append((np.searchsorted(near[order], np.arange(65537)), (order // len(_NEAR)).astype(np.int32)))
+        return out
 
     def fingerprint(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(windows, 2) SimHash of the shingles codes[start:end] of each window."""
@@ -77,7 +98,7 @@ class ItemIndex:
             n = e - s
             at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
             used, place = np.unique(at, return_inverse=True)
-            signed = _bits(codes[used]) * self.weight(codes[used])[:, None].astype(np.float32)
+            signed = _bits(codes[used]) * (self.weight(codes[used])[:, None] / UNIT).astype(np.float32)
             sums = np.add.reduceat(signed[place], np.cumsum(n) - n, axis=0)
             out[k : k + 1000] = np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)
         return out
@@ -95,12 +116,70 @@ class ItemIndex:
         pairs = np.unique(np.concatenate(found))
         return pairs // len(self.ids), pairs % len(self.ids)
 
-    def similarity(self, codes: np.ndarray, item: int) -> float:
-        own = np.unique(codes)
-        other = self.shingles[item]
-        w_own, w_other = self.weight(own).sum(), self.weight(other).sum()
-        common = self.weight(np.intersect1d(own, other, assume_unique=True)).sum()
-        return float(common / (w_own + w_other - common))
+    def candidates(self, codes: np.ndarray, places: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
+        """(item, s, t): starts s..t of the windows that can reach ``threshold``.
+
+        ``places`` are those of ``codes`` that are shingles, ``first`` is the
+        first place of the text that each lies in.
+        """
+        at, items = self.holders
+        if not len(items) or not len(places):
+            return
+        spot = np.minimum(np.searchsorted(self.known, codes[places]), len(self.known) - 1)
+        hit = self.known[spot] == codes[places]
+        places, first, spot = places[hit], first[hit], spot[hit]
+        many = at[spot + 1] - at[spot]
+        sums = np.cumsum(many)
+        length = self.n_words - SHINGLE + 1
+        longest = int(length[items].max())
+        need = threshold * self.whole * (1 - 1e-9)
+        begin = 0
+        while begin < len(places):
+            end = max(int(np.searchsorted(sums, PLACES + (sums[begin - 1] if begin else 0), side="right")), begin + 1)
+            early = int(np.searchsorted(places, places[begin] - longest + 1))
+            n = many[early:end]
+            own = np.repeat(np.arange(early, end), n)
+            item = items[np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[spot[early:end]], n)].astype(np.int64)
+            key = item * len(codes) + places[own]
+            order = np.argsort(key, kind="stable")
+            key, own, item = key[order], own[order], item[order]
+            weight = np.append(0, np.cumsum(self.weights[spot[own]]))
+            left = np.searchsorted(key, item * len(codes) + np.maximum(places[own] - length[item] + 1, first[own]))
+            good = np.flatnonzero((weight[1:] - weight[left] >= need[item]) & (own >= begin))
+            item, s, t, text = item[good], places[own[good]] - length[item[good]] + 1, places[own[good]], first[own[good]]
+            new = np.ones(len(good), bool)
+            new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (s[1:] > t[:-1] + 1)
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(good)) - 1
+            yield from zip(item[heads].tolist(), s[heads].tolist(), t[tails[: len(heads)]].tolist(), strict=True)
+            begin = end
+
+    def best_window(self, codes: np.ndarray, first: int, last: int, item: int, s: int, t: int) -> tuple[float, int]:
+        """Similarity and minus the place of the best window that starts at s..t (the
+        first of equals) in a text with the shingles codes[first:last]."""
+        length = int(self.n_words[item]) - SHINGLE + 1
+        low = max(s, first)
+        distinct, code = np.unique(codes[low : min(t + length, last)], return_inverse=True)
+        weight, code = self.weight(distinct).tolist(), code.tolist()
+        shared = np.isin(distinct, self.shingles[item], assume_unique=True).tolist()
+        times = [0] * len(distinct)
+        whole, own, common = int(self.whole[item]), 0, 0
+        found = (-1.0, 0)
+        for start in range(s, t + 1):
+            if start > s and start > first:
+                c = code[start - 1 - low]
+                times[c] -= 1
+                if not times[c]:
+                    own -= weight[c]
+                    common -= weight[c] * shared[c]
+            for k in range(low if start == s else max(start + length - 1, low), min(start + length, last)):
+                c = code[k - low]
+                if not times[c]:
+                    own += weight[c]
+                    common += weight[c] * shared[c]
+                times[c] += 1
+            found = max(found, (common / (own + whole - common), -max(start, first)))
+        return found
 
 
 def _shingle_codes(h: np.ndarray, n: np.ndarray, word_at: np.ndarray) -> np.ndarray:
@@ -127,24 +206,23 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex | None:
     last_shingle = np.maximum(last - SHINGLE + 1, first + 1)
     shingles = [np.unique(codes[a:b]) for a, b in zip(first, last_shingle, strict=True)]
     known, times = np.unique(np.concatenate(shingles), return_counts=True)
-    anchors = {}
-    for width in range(1, ANCHOR + 1):
-        own = [k for k in range(len(used)) if min(ANCHOR, last[k] - first[k]) == width]
-        if own:
-            code = np.concatenate([kernel.rolling(h[first[k] : last[k]], width) for k in own])
-            size = [last[k] - first[k] - width + 1 for k in own]
-            item, place = np.repeat(own, size), np.concatenate([np.arange(s) for s in size])
+    weights = np.rint(UNIT / (1 + np.log(times))).astype(np.int64)
+    size = last - first
+    short = {}
+    for width in range(1, ANCHOR):
+        own = np.flatnonzero(size == width)
+        if len(own):
+            code = kernel.rolling(h, width)[first[own]]
             order = np.argsort(code, kind="stable")
             distinct, at = np.unique(code[order], return_index=True)
-            anchors[width] = (distinct, np.append(at, len(code)), item[order], place[order])
-    index = ItemIndex(np.array([items[i][0] for i in used]), (last - first).astype(np.int64), shingles, known, 1 / (1 + np.log(times)), anchors, np.zeros((len(used), 2), np.uint64), [])
-    index.prints = index.fingerprint(codes, first, last_shingle)
-    values = index.prints.view(np.uint16).reshape(len(used), BLOCKS)
-    for b in range(BLOCKS):
-        near = (values[:, b][:, None] ^ _NEAR[None, :]).ravel()
-        order = np.argsort(near, kind="stable")
-        index.blocks.append((np.searchsorted(near[order], np.arange(65537)), (order // len(_NEAR)).astype(np.int32)))
-    return index
+            short[width] = (distinct, np.append(at, len(code)), own[order])
+    spots = [np.searchsorted(known, x) for x in shingles]
+    whole = np.array([weights[x].sum() for x in spots])
+    spot = np.concatenate([x if w >= ANCHOR else x[:0] for x, w in zip(spots, size, strict=True)])
+    item = np.concatenate([np.full(len(x) if w >= ANCHOR else 0, k, np.int32) for k, (x, w) in enumerate(zip(spots, size, strict=True))])
+    order = np.argsort(spot, kind="stable")
+    holders = (np.searchsorted(spot[order], np.arange(len(known) + 1)), item[order])
+    return ItemIndex(np.array([items[i][0] for i in used]), size.astype(np.int64), shingles, known, weights, whole, holders, short)
 
 
 def match(index: ItemIndex, column: pa.Array, threshold: float) -> list[tuple[int, int, int, float]]:
@@ -156,44 +234,27 @@ def match(index: ItemIndex, column: pa.Array, threshold: float) -> list[tuple[in
         if not words.n:
             continue
         h, n = words.hashes(), words.counts()
-        starts, ends = [], []
-        text = None
-        for width, (distinct, at, item, place) in index.anchors.items():
+        text = words.text_of()
+
+        def keep(t: int, i: int, likeness: float, place: int, lo=lo, words=words) -> None:
+            key, found = (lo + t, i), (likeness, place + int(words.word_at[t]))
+            if key not in best or found > best[key]:
+                best[key] = found
+
+        for width, (distinct, at, item) in index.short.items():
             codes = kernel.rolling(h, width)
-            if not len(codes):
-                continue
             spot = np.minimum(np.searchsorted(distinct, codes), len(distinct) - 1)
             hit = np.flatnonzero(distinct[spot] == codes)
-            if not len(hit):
-                continue
-            text = words.text_of() if text is None else text
-            hit = hit[text[hit] == text[hit + width - 1]]
-            s, count = at[spot[hit]], at[spot[hit] + 1] - at[spot[hit]]
-            entry = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(s, count)
-            where = np.repeat(hit, count)
-            start = where - place[entry]
-            t = text[where]
-            starts.append(np.maximum(start, words.word_at[t]))
-            ends.append(np.minimum(start + index.n_words[item[entry]], words.word_at[t + 1]))
-        if not starts:
-            continue
-        window = np.unique(np.stack([np.concatenate(starts), np.concatenate(ends)], 1), axis=0)
-        s, e = window[:, 0], window[:, 1]
+            for p in hit[text[hit] == text[hit + width - 1]].tolist():
+                for i in item[at[spot[p]] : at[spot[p] + 1]].tolist():
+                    keep(int(text[p]), i, 1.0, -p)
         codes = _shingle_codes(h, n, words.word_at)
-        e_shingle = np.maximum(e - SHINGLE + 1, s + 1)
-        own = text[s]
-        # a one-word window inside a longer text has a code of its own, kept behind the others
-        single = (e - s < SHINGLE) & (n[own] >= SHINGLE)
-        codes = np.concatenate([codes, kernel.rolling(h, 1, salt=17)]) if single.any() else codes
-        s_code = np.where(single, s + len(h), s)
-        e_code = np.where(single, s_code + 1, e_shingle)
-        for w, i in zip(*index.within_radius(index.fingerprint(codes, s_code, e_code)), strict=True):
-            likeness = index.similarity(codes[s_code[w] : e_code[w]], int(i))
+        places = np.flatnonzero(text[: len(h) - SHINGLE + 1] == text[SHINGLE - 1 :])
+        for i, s, t in index.candidates(codes, places, words.word_at[text[places]], threshold):
+            own = int(text[t])
+            likeness, place = index.best_window(codes, int(words.word_at[own]), int(words.word_at[own + 1]) - SHINGLE + 1, i, s, t)
             if likeness >= threshold:
-                key = (lo + int(own[w]), int(i))
-                found = (likeness, -int(s[w] - words.word_at[own[w]]))
-                if key not in best or found > best[key]:
-                    best[key] = found
+                keep(own, i, likeness, place)
     return [(row, int(index.ids[i]), -place, likeness) for (row, i), (likeness, place) in sorted(best.items())]
 
 
