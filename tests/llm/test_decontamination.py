@@ -73,3 +73,20 @@ def test_shared_words_and_runs_without_anchor():
     docs = [(d, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))) for d in range(60)]
     found = decontam.match(decontam.build_index(items), pa.array([t for _, t in docs]), 0.6)
     same({(d, i): (first, like) for d, i, first, like in found}, brute(docs, items))
+
+
+def test_blocks_of_items_change_nothing(spark, make_docs, monkeypatch):
+    rng = random.Random(4)
+    template = [f"t{k}" for k in range(13)]
+    items = [(i, " ".join(template + [f"i{i}w{k}" for k in range(17)])) for i in range(10)]
+    texts = [(d, " ".join(template + items[d % 10][1].split()[13 : 13 + rng.randint(8, 17)])) for d in range(20)]
+    docs, table = make_docs(texts), spark.createDataFrame([(i, t) for i, t in items] + items[:3], "item_id long, text string")
+    seen = []
+    for size in (1, 4, 1024):
+        monkeypatch.setattr(decontam, "ITEM_BLOCK", size)
+        rows = {tuple(r) for r in decontam.contaminations(docs, table).collect()}
+        left = {r.doc_id for r in decontam.clean(docs, table).select("doc_id").collect()}
+        assert left == {d for d, _ in texts} - {d for d, *_ in rows}
+        seen.append(rows)
+    assert seen[0] == seen[1] == seen[2]
+    same({(d, i): (first, like) for d, i, first, like in seen[0]}, brute(texts, items))

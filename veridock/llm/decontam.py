@@ -5,6 +5,9 @@ lower case.  A window of an item's number of words (fewer where it hangs over
 an end of the text) holds a passage of the item if the weighted Jaccard
 similarity of their sets of ``SHINGLE``-word shingles reaches the threshold.
 
+A shingle weighs 1 / (1 + log(number of items that hold it)), counted once over
+all items whatever block they are in, and 1 if no item holds it.
+
 Such a window holds shingles of the item that weigh at least the threshold
 times the item's whole weight.  All places of the items' shingles in a text
 are looked up, running sums over them show where a window can hold that much,
@@ -18,8 +21,8 @@ both bounds the candidates and keeps all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 from itertools import combinations
 
@@ -59,6 +62,13 @@ def _bits(codes: np.ndarray) -> np.ndarray:
     return np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
 
 
+def _weights(codes: np.ndarray, shared: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    if not len(shared):
+        return np.full(len(codes), UNIT)
+    at = np.minimum(np.searchsorted(shared, codes), len(shared) - 1)
+    return np.where(shared[at] == codes, weights[at], UNIT)
+
+
 @dataclass
 class ItemIndex:
     ids: np.ndarray
@@ -66,13 +76,13 @@ class ItemIndex:
     shingles: list[np.ndarray]  # distinct, sorted
     known: np.ndarray  # all distinct shingles, sorted
     weights: np.ndarray  # of known, in UNITs
+    shared: tuple[np.ndarray, np.ndarray]  # shingles of several items, sorted, and their weights
     whole: np.ndarray  # weight of all shingles of an item
     holders: tuple[np.ndarray, np.ndarray]  # CSR starts by known, items of at least ANCHOR words
     short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # number of words: codes, CSR starts, items
 
     def weight(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-        return np.where(self.known[at] == codes, self.weights[at], UNIT)
+        return _weights(codes, *self.shared)
 
     @cached_property
     def prints(self) -> np.ndarray:
@@ -193,20 +203,34 @@ def _shingle_codes(h: np.ndarray, n: np.ndarray, word_at: np.ndarray) -> np.ndar
     return codes
 
 
-def build_index(items: list[tuple[int, str]]) -> ItemIndex | None:
-    """Index of (id, text) items; items without words are left out."""
-    buf, offsets = kernel.utf8(pa.array([t or "" for _, t in items], pa.large_string()))
-    words = _words(buf, offsets, 0, len(items))
+def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Word hashes; and of the texts with words: place, first and last word, distinct shingles."""
+    buf, offsets = kernel.utf8(column)
+    words = _words(buf, offsets, 0, len(column))
     h, n = words.hashes(), words.counts()
     codes = _shingle_codes(h, n, words.word_at)
     used = np.flatnonzero(n > 0)
+    first, last = words.word_at[:-1][used], words.word_at[1:][used]
+    return h, used, first, last, [np.unique(codes[a:b]) for a, b in zip(first, np.maximum(last - SHINGLE + 1, first + 1), strict=True)]
+
+
+def _shared(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several items hold, sorted, and their weights."""
+    order = np.argsort(codes)
+    codes, times = codes[order], times[order]
+    many = times > 1
+    return codes[many], np.rint(UNIT / (1 + np.log(times[many]))).astype(np.int64)
+
+
+def build_index(items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray] | None = None) -> ItemIndex | None:
+    """Index of (id, text) items; items without words are left out.  ``shared``
+    are the weights from all items, if these are only a block of them."""
+    h, used, first, last, shingles = _shingles(pa.array([t or "" for _, t in items], pa.large_string()))
     if not len(used):
         return None
-    first, last = words.word_at[:-1][used], words.word_at[1:][used]
-    last_shingle = np.maximum(last - SHINGLE + 1, first + 1)
-    shingles = [np.unique(codes[a:b]) for a, b in zip(first, last_shingle, strict=True)]
     known, times = np.unique(np.concatenate(shingles), return_counts=True)
-    weights = np.rint(UNIT / (1 + np.log(times))).astype(np.int64)
+    shared = _shared(known, times) if shared is None else shared
+    weights = _weights(known, *shared)
     size = last - first
     short = {}
     for width in range(1, ANCHOR):
@@ -222,7 +246,7 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex | None:
     item = np.concatenate([np.full(len(x) if w >= ANCHOR else 0, k, np.int32) for k, (x, w) in enumerate(zip(spots, size, strict=True))])
     order = np.argsort(spot, kind="stable")
     holders = (np.searchsorted(spot[order], np.arange(len(known) + 1)), item[order])
-    return ItemIndex(np.array([items[i][0] for i in used]), size.astype(np.int64), shingles, known, weights, whole, holders, short)
+    return ItemIndex(np.array([items[i][0] for i in used]), size.astype(np.int64), shingles, known, weights, shared, whole, holders, short)
 
 
 def match(index: ItemIndex, column: pa.Array, threshold: float) -> list[tuple[int, int, int, float]]:
@@ -258,10 +282,32 @@ def match(index: ItemIndex, column: pa.Array, threshold: float) -> list[tuple[in
     return [(row, int(index.ids[i]), -place, likeness) for (row, i), (likeness, place) in sorted(best.items())]
 
 
+def distinct_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
+
+
+def shared_weights(items: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the shingles that several items hold.
+
+    Counted on the executors, each batch of items added up first; 16 bytes for
+    each shingle that more than one item holds come to the driver, and go to
+    the executors once.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(b.column(0))[-1]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(times.astype(np.int64))], ["code", "times"])
+
+    counted = distinct_items(items, id_col, text_col).select("text").mapInArrow(run, "code long, times long")
+    table = counted.groupBy("code").agg(F.sum("times").alias("times")).where("times > 1").toArrow()
+    return _shared(table["code"].to_numpy().view(np.uint64), table["times"].to_numpy())
+
+
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded number and bytes (one item at least)."""
     block, size = [], 0
-    for r in items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("id", "text").toLocalIterator():
+    for r in distinct_items(items, id_col, text_col).orderBy("id", "text").toLocalIterator():
         if block and (len(block) >= ITEM_BLOCK or size + len(r.text) > ITEM_BLOCK_BYTES):
             yield block
             block, size = [], 0
@@ -271,6 +317,18 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+def finders(items: DataFrame, id_col: str, text_col: str, threshold: float) -> Iterator[Callable[[pa.Array], list[tuple[int, int, int, float]]]]:
+    """``match`` for each block of items, to be called on the executors."""
+    sc = items.sparkSession.sparkContext
+    weights = shared_weights(items, id_col, text_col)
+    everywhere = sc.broadcast(weights)
+    for block in item_blocks(items, id_col, text_col):
+        index = build_index(block, weights)
+        if index is not None:
+            part = sc.broadcast(replace(index, shared=()))  # bounded by ITEM_BLOCK
+            yield lambda column, part=part: match(replace(part.value, shared=everywhere.value), column, threshold)
+
+
 def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6) -> DataFrame:
     """(id, item_id, first_word, similarity): for each document and item the most
     similar window at or above ``threshold`` (the first one of equals).
@@ -284,15 +342,11 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     schema = "id long, item long, first_word long, similarity double"
     parts = []
-    for block in item_blocks(items, item_id, item_text):
-        index = build_index(block)
-        if index is None:
-            continue
-        shared = spark.sparkContext.broadcast(index)  # bounded by ITEM_BLOCK
+    for find in finders(items, item_id, item_text, threshold):
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = match(shared.value, b.column(1), threshold)
+                found = find(b.column(1))
                 if found:
                     row, item, first, likeness = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(first, pa.int64()), pa.array(likeness)], ["id", "item", "first_word", "similarity"])
@@ -310,16 +364,12 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     """
     at = docs.columns.index(text_col)
     out = docs
-    for block in item_blocks(items, item_id, item_text):
-        index = build_index(block)
-        if index is None:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for find in finders(items, item_id, item_text, threshold):
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[row for row, *_ in match(shared.value, b.column(at), threshold)]] = False
+                keep[[row for row, *_ in find(b.column(at))]] = False
                 yield b.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)
