@@ -14,6 +14,7 @@ every language, and all pieces of a text count.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ from veridock.llm import kernel
 from veridock.llm.samples import texts_by_class
 
 PIECE = 192
+#: Bytes of a piece of a training text (up to 3 more, to end with a character).
+SAMPLE_PIECE = 240
 UNDETERMINED = "und"
 _SPACE = 32
 
@@ -137,16 +140,45 @@ class LanguageModel:
         return best, score
 
 
+def _sample(texts: list[str], limit: int) -> bytes:
+    """All texts if they fit in ``limit`` bytes, else those of their distinct pieces
+    that come first by hash, from anywhere in the texts and in the texts' order."""
+    whole = [t.encode() for t in texts]
+    if sum(map(len, whole)) + len(whole) - 1 <= limit:
+        return b" ".join(whole)
+    width = max(1, min(SAMPLE_PIECE, limit // 4))
+    pieces: dict[bytes, tuple[int, int]] = {}
+    for k, text in enumerate(whole):
+        at = 0
+        while at < len(text):
+            end = min(at + width, len(text))
+            while end < len(text) and text[end] & 0xC0 == 0x80:  # inside a character
+                end += 1
+            pieces.setdefault(text[at:end], (k, at))
+            at = end
+    chosen, size = [], 0
+    for piece in sorted(pieces, key=lambda x: (hashlib.blake2b(x).digest(), x)):
+        if size + len(piece) > limit:
+            break
+        chosen.append((*pieces[piece], piece))
+        size += len(piece) + 1
+    out, after = [], None
+    for k, at, piece in sorted(chosen):
+        out += [b" "] * (bool(out) and (k, at) != after) + [piece]
+        after = k, at + len(piece)
+    return b"".join(out)
+
+
 def train(texts: dict[str, list[str]], sample_bytes: int = 60_000, total_bytes: int = 1_200_000) -> LanguageModel:
-    """One automaton for each language over at most ``sample_bytes`` of its texts,
-    the same share of each text; at most ``total_bytes`` for all languages, which
-    bounds the broadcast tables."""
+    """One automaton for each language over at most ``sample_bytes`` of its texts:
+    all of them if they fit, else distinct pieces of ``SAMPLE_PIECE`` bytes chosen
+    by hash from everywhere in every text.  All languages together have at most
+    ``total_bytes``, which bounds the broadcast tables: beyond 20 languages each
+    has ``total_bytes`` divided by their number."""
     raw = {}
     sample_bytes = min(sample_bytes, total_bytes // max(len(texts), 1))
     for name, own in sorted(texts.items()):
-        share = max(sample_bytes // max(len(own), 1), 200)
-        joined = b" ".join(t.encode()[:share] for t in own)[:sample_bytes]
-        raw[name] = normalise(np.frombuffer(joined, dtype=np.uint8))
+        raw[name] = normalise(np.frombuffer(_sample(own, sample_bytes), dtype=np.uint8))
     seen = np.unique(np.concatenate(list(raw.values()) or [np.zeros(0, np.uint8)]))
     # class 0 is padding, class 1 any byte that no sample has
     classes = np.ones(256, dtype=np.int32)
