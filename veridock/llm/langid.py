@@ -201,10 +201,11 @@ def train(texts: dict[str, list[str]], sample_bytes: int = 60_000, total_bytes:
     return LanguageModel(languages, classes, width)
 
 
-def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang", per_language: int = 250, max_text_bytes: int = 200_000) -> LanguageModel:
+def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang", per_language: int = 250, max_chars: int = 4_000) -> LanguageModel:
     """Learn from at most ``per_language`` texts of each language that pass
-    ``where`` (a condition on ``id``)."""
-    return train(texts_by_class(docs, id_col, text_col, class_col, where, per_language, max_text_bytes))
+    ``where`` (a condition on ``id``); of texts longer than ``max_chars``
+    characters that many from everywhere in them."""
+    return train(texts_by_class(docs, id_col, text_col, class_col, where, per_language, max_chars))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

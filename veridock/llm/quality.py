@@ -151,10 +151,10 @@ def train(samples: list[tuple[str, int]], epochs: int | None = None, rate: float
     return QualityModel((vectors @ diff).reshape(_KINDS, 1 << BITS), float(intercept[1] - intercept[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 3000, max_text_bytes: int = 200_000) -> QualityModel:
-    """Train on at most ``max_rows`` labelled texts of at most ``max_text_bytes``;
-    ``where`` restricts the labels' ``id``."""
-    return train(labelled_texts(docs, labels, id_col, text_col, label_col, where, max_rows, max_text_bytes))
+def fit(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 3000, max_chars: int = 20_000) -> QualityModel:
+    """Train on at most ``max_rows`` labelled texts (of longer ones ``max_chars``
+    characters from everywhere in them); ``where`` restricts the labels' ``id``."""
+    return train(labelled_texts(docs, labels, id_col, text_col, label_col, where, max_rows, max_chars))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
