@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridock.plans.scratch import release
+
 
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; the component is the
@@ -16,8 +18,10 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataF
     set into one of at most the same size with the same components, until it
     is a set of stars, after O(log^2 n) rounds.  A hot node only ever appears
     as the key of an aggregate that Spark combines before the shuffle, never
-    as a collected list.  ``cut`` writes a table and reads it again, which
-    ends the lineage of a round.  Null endpoints and loops are ignored.
+    as a collected list, and no side is broadcast (all grow with the data).
+    ``cut`` writes a table and reads it again, which ends the lineage of a
+    round; the table of the round before is then deleted.  Null endpoints and
+    loops are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct()
     e = cut(e, "edges")
@@ -28,12 +32,13 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataF
         # large star: every neighbour above a node meets the least of the node's neighbourhood
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # small star: a node and its lesser neighbours meet the least of them
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small, "edges")
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+        before, e = e, cut(small, "edges")
+        release(before)
         now = _fingerprint(e)
         if now == state:
             break

@@ -33,8 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again."""
+    """Write ``df`` as Parquet in the shared folder and read it again.
+
+    The table stays until :func:`release` or until the folder's owner clears it:
+    a result that reads it may still be lazy."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that no other table or result reads any more;
+    DataFrames that aren't such tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
