@@ -28,9 +28,111 @@ def test_scores(spark):
     assert (got["c"].value, got["c"].benchmark_value, got["c"].standard_error) == (1.0, 0.0, None)
     assert (got["none"].status, got["none"].n, got["none"].value) == ("awaiting_outcome", 0, None)
     assert {(r.observation_id, r.reason) for r in prediction.rejected_outcomes(specs, o).collect()} == {(3, "outside_window"), (4, "source")}
-    gate = prediction.aggregate(prediction.score(specs, o), 30).first()
-    assert gate.resolved == 4 and gate.mean_value is None and not gate.gate_passed
-    assert prediction.aggregate(prediction.score(specs, o), 4).first().mean_value is not None
+    scores = prediction.score(specs, o)
+    with pytest.raises(Exception, match="several metrics"):
+        prediction.aggregate(scores, 30).collect()
+    with pytest.raises(Exception, match="source|outside_window"):
+        prediction.score(specs, o, strict=True).collect()
+    with pytest.raises(Exception, match="scored before"):
+        prediction.score(specs, o, F.lit(T0)).collect()
+    assert prediction.score(specs, o, F.lit(T0 + 5 * DAY)).count() == 5
+
+
+def test_aggregate(spark):
+    rows = [(f"s{k}", "resolved", float(k), 1.0 if k < 2 else None, 2) for k in range(4)] + [("w", "awaiting_outcome", None, None, 0), ("u", "unresolvable", None, None, 0)]
+    scores = spark.createDataFrame([("brier", *r) for r in rows], "metric string, spec_id string, status string, value double, benchmark_value double, n int")
+    low, high = (prediction.aggregate(scores, k).first() for k in (5, 4))
+    assert (low.status, low.resolved, low.awaiting, low.unresolvable, low.observations, low.benchmarks, low.mean_value, low.standard_error) == ("insufficient_sample", 4, 1, 1, 8, 2, None, None)
+    assert (high.status, high.mean_value, high.mean_benchmark) == ("aggregated", 1.5, None)
+    assert high.standard_error == pytest.approx((5 / 3) ** 0.5 / 2)
+    assert prediction.aggregate(scores, 2).first().mean_benchmark == 1.0
+    with pytest.raises(ValueError):
+        prediction.aggregate(scores, 1)
+    with pytest.raises(Exception, match="several scores"):
+        prediction.aggregate(scores.unionAll(scores), 4).collect()
+    ids = prediction.score_ids(scores, spark.createDataFrame([("s0", "b"), ("s0", "a")], "spec_id string, observation_id string"), "2024", "run")
+    got = {r.spec_id: r.score_id for r in ids.collect()}
+    import hashlib
+
+    want = '{"prediction_spec_id":"s0","outcome_observation_ids":["a","b"],"status":"resolved","scored_at":"2024","run_id":"run","scoring_method_version":"builtin-deterministic-v1"}'
+    import json
+
+    canonical = json.dumps(json.loads(want), sort_keys=True, separators=(",", ":"))
+    assert got["s0"] == "predictive-score_" + hashlib.sha256(canonical.encode()).hexdigest() and len(set(got.values())) == 6
+
+
+def test_directions_and_events(spark):
+    def one(value, threshold, direction):
+        df = spark.createDataFrame([(value, threshold, direction)], "v double, t double, d string")
+        return df.select(prediction.event(F.col("v"), F.col("t"), F.col("d")).alias("e")).first().e
+
+    spelled = {"More than": (4, 5, 6), "at-or-above": (4, 5, 6), " UNDER ": (4, 5, 6), "at most": (4, 5, 6), "equal_to": (4, 5, 6), "not equal": (4, 5, 6)}
+    want = {"More than": [0, 0, 1], "at-or-above": [0, 1, 1], " UNDER ": [1, 0, 0], "at most": [1, 1, 0], "equal_to": [0, 1, 0], "not equal": [1, 0, 1]}
+    for d, values in spelled.items():
+        assert [one(float(v), 5.0, d) for v in values] == want[d]
+    assert one(1.0, None, None) == 1.0
+    for bad in ((1.0, 5.0, "roughly"), (1.0, 5.0, None), (1.0, None, "above"), (float("nan"), 5.0, "above"), (0.5, None, None), (1.0, float("inf"), "above")):
+        with pytest.raises(Exception, match="direction|finite|binary"):
+            one(*bad)
+    df = spark.createDataFrame([("accuracy", None, None, "rain", "rain"), ("accuracy", None, None, "rain", "sun"), ("accuracy", 0.7, 1.0, None, None), ("accuracy", 3.0, 3.0, None, None)], "r string, f double, v double, fl string, l string")
+    none = F.lit(None)
+    got = [r.x for r in df.select(prediction.loss(F.col("r"), F.col("f"), F.col("v"), none.cast("double"), none.cast("string"), F.col("fl"), F.col("l")).alias("x")).collect()]
+    assert got == [1.0, 0.0, 1.0, 1.0]
+    with pytest.raises(Exception, match="between 0 and 1"):
+        prediction.score(spark.createDataFrame([spec("b", "brier", 1.7, 0.5)], SPEC), spark.createDataFrame([("b", 1, T0 + DAY, 12.0, "src")], OBS)).collect()
+
+
+CLAIMS = "canonical_id string, claim_type string, outcome_metric string, time_horizon string, status string, outcome map<string,string>"
+
+
+def test_eligibility_reasons(spark):
+    rows = [
+        ("a", "historical_observation", "m", "2025", None, None), ("b", "predictive", "  ", "2025", None, None), ("c", "predictive", None, None, "deprecated", {"target_metric": "m", "deadline": "2025"}),
+        ("d", "predictive", "m", None, None, {"window": "{}"}), ("e", "predictive", "m", "", None, {"window_end": "2025"}), ("f", "procedural", None, None, None, None),
+    ]
+    got = {r.canonical_id: r.reasons for r in prediction.eligibility(spark.createDataFrame(rows, CLAIMS)).collect()}
+    assert got == {"a": ["historical"], "b": ["no_metric"], "c": ["deprecated"], "d": ["no_time"], "e": [], "f": ["claim_type", "no_metric", "no_time"]}
+
+
+def test_registration(spark):
+    claims = spark.createDataFrame([("k", "predictive", "m", "2025", None, None), ("old", "historical_observation", "m", "2025", None, None)], CLAIMS)
+    columns = SPEC + ", status string, canonical_id string, target_metric string, version int"
+    make = lambda name, status="draft", claim="k", metric="m", rule="brier", forecast=0.8, direction="at least": (*spec(name, rule, forecast, 0.5)[:5], direction, *spec(name, rule, forecast, 0.5)[6:], status, claim, metric, 1)
+    rows = [make("ok"), make("done", status="frozen"), make("none", claim="zz"), make("hist", claim="old"), make("metric", metric="x"), make("log", rule="log_loss"), make("p", forecast=1.5), make("d", direction="roughly"), make("half", direction=None)]
+    specs = spark.createDataFrame(rows, columns)
+    out = {r.spec_id: r for r in prediction.freeze(specs, claims, F.lit(T0 - DAY), strict=False).collect()}
+    assert {k: r.violations for k, r in out.items()} == {
+        "ok": [], "done": ["not a draft"], "none": ["no such claim"], "hist": ["ineligible claim"], "metric": ["another metric than the claim's"], "log": ["log_loss has no clipping policy"],
+        "p": ["forecast is no probability"], "d": ["unsupported direction"], "half": ["direction and threshold belong together"],
+    }
+    assert out["ok"].status == "frozen" and len(out["ok"].content_hash) == 64 and out["d"].status == "draft" and out["d"].content_hash is None
+    late = prediction.freeze(specs.where("spec_id = 'ok'"), claims, F.lit(T0 + DAY), strict=False).first()
+    assert late.violations == ["registered after the cutoff"]
+    with pytest.raises(Exception, match="ineligible"):
+        prediction.freeze(specs.where("spec_id = 'hist'"), claims, F.lit(T0)).collect()
+    frozen = prediction.freeze(specs.where("spec_id = 'ok'"), claims, F.lit(T0 - DAY)).drop("violations")
+    new = prediction.new_versions(frozen, spark.createDataFrame([("ok", "ok2", 0.9)], "spec_id string, new_id string, forecast double")).first()
+    assert (new.spec_id, new.supersedes, new.version, new.status, new.forecast, new.threshold, new.content_hash, new.registered_at) == ("ok2", "ok", 2, "draft", 0.9, 10.0, None, None)
+    for bad, problem in ((("ok", "ok", 0.9), "own"), (("ok", "n", None), "change"), (("zz", "n", 0.1), "no such")):
+        with pytest.raises(Exception, match=problem):
+            prediction.new_versions(frozen, spark.createDataFrame([bad], "spec_id string, new_id string, forecast double")).collect()
+    with pytest.raises(ValueError):
+        prediction.new_versions(frozen, spark.createDataFrame([("ok", "n", "x")], "spec_id string, new_id string, owner string"))
+
+
+def test_outcome_reasons(spark):
+    specs = spark.createDataFrame([(*spec("s", "brier", 0.8, None), "frozen", True), (*spec("d", "brier", 0.8, None), "draft", True), (*spec("u", "brier", 0.8, None), "unresolvable", True)], SPEC + ", status string, has_offset boolean")
+    at = T0 + DAY
+    rows = [("s", 1, at, 1.0, "src", True), ("s", 2, at, 1.0, "x", True), ("s", 3, at, 1.0, "src", False), ("s", 4, T0 - DAY, 1.0, "src", True), ("s", 5, T0 + 9 * DAY, 1.0, "src", True), ("s", 6, at, 1.0, "src", True), ("s", 6, at, 2.0, "src", True), ("d", 7, at, 1.0, "src", True), ("u", 8, at, 1.0, "src", True), ("q", 9, at, 1.0, "src", True)]
+    o = spark.createDataFrame(rows, OBS + ", has_offset boolean")
+    got = {r.observation_id: r.reason for r in prediction.rejected_outcomes(specs, o).collect()}
+    assert got == {2: "source", 3: "time_notation", 4: "before_cutoff", 5: "outside_window", 6: "conflict", 7: "draft", 8: "unresolvable", 9: "no_spec"}
+    offsets = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-01-01T00:00:00+02:00",), ("2024-01-01T00:00:00",)], "t string")
+    assert [r.h for r in offsets.select(prediction.has_offset(F.col("t")).alias("h")).collect()] == [True, True, False]
+    assert {r.spec_id: (r.status, r.reason) for r in prediction.score(specs.where("status != 'draft'"), o).collect()}["u"] == ("unresolvable", None)
+    assert prediction.resolve(specs.where("spec_id = 's'"), o).first().status == "resolved"
+    with pytest.raises(Exception, match="can't resolve"):
+        prediction.resolve(specs.where("spec_id = 'u'"), o).collect()
 
 
 def test_lifecycle(spark):

@@ -2,46 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridock.functions import identity as J
 from veridock.functions import text as T
+from veridock.functions.lines import lines
 
-_BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 _SENTENCE = r"(?U)(?<=[.!?])[\s\x1c-\x1f]+(?=[A-Z0-9])"
-_VERB = "(?:" + "|".join(["[a-z]+s", "are", "is", "will", "can", "may", "must", "should"]) + ")"
+_VERB = r"(?:should|must|may|can|will|is|are|[a-z]+s)"
 _CLAUSE = r"(?iU),\s+(?:but|and)\s+(?=[A-Z][\p{L}\p{N}_ -]{1,60}\s+" + _VERB + r"\b)"
 _BULLET = r"(?U)^\s*(?:[*+-]|\d+[.)])\s+(\S.*)$"
 _EXPLICIT = r"(?iU)^\s*(?:assertion|claim)\s*:\s*(\S.*)$"
 _NAME = r"[a-z][\p{L}\p{N}_-]*"
-_MODAL_WORDS = "(" + "|".join(["should", "must", "may", "can", "will", r"tends\s+to"]) + ")"
-MODAL = r"(?iU)^(.+?)\s+" + _MODAL_WORDS + r"\s+(not\s+)?(" + _NAME + r")\s+(.+)$"
+MODAL = r"(?iU)^(.+?)\s+(should|must|may|can|will|tends\s+to)\s+(not\s+)?(" + _NAME + r")\s+(.+)$"
 COPULA = r"(?iU)^(.+?)\s+(is|are)\s+(not\s+)?(.+)$"
 DESCRIPTIVE = r"(?iU)^(.+?)\s+(" + _NAME + r"(?:s|es))\s+(.+)$"
 QUANTIFIERS = ("all", "some", "no", "most", "few")
 CAUSAL = ("cause", "lead", "increase", "decrease", "reduce")
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line, start_offset, paragraph, section) for every line.
-
-    Offsets count characters of the whole text, paragraphs the non-blank lines
-    so far, and the section is the last heading with a title.  Work is one
-    window per document, so documents spread over the cluster by id.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), _BREAK)).alias("line_no", "line"), F.lit(1).alias("gap"))
-    so_far = Window.partitionBy("id").orderBy("line_no")
-    heading = F.regexp_extract(T.collapse(F.col("line")), r"^#+\s*(.*?)#*\s*$", 1)
-    title = F.when(F.trim("line").startswith("#") & (heading != ""), heading)
-    return rows.select(
-        "id", "line_no", "line",
-        F.coalesce(F.sum(F.length("line") + F.col("gap")).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_offset"),
-        F.sum((F.trim("line") != "").cast("int")).over(so_far).alias("paragraph"),
-        F.last(title, ignorenulls=True).over(so_far).alias("section"),
-    )
-
-
 def marked_body(line: Column) -> Column:
     """Body of a bullet or an explicit claim line; null for other lines."""
     body = T.first_of(F.nullif(F.regexp_extract(line, _BULLET, 1), F.lit("")), F.nullif(F.regexp_extract(line, _EXPLICIT, 1), F.lit("")))
@@ -75,41 +55,54 @@ def sentences(docs: DataFrame, id_col: str, text_col: str, prose: bool = True) -
     return rows.select("id", "line_no", "ord", F.col("x.assertions").alias("assertion"), start.alias("start_offset"), (start + F.length("x.assertions")).alias("end_offset"), "paragraph", "section")
 
 
+def _groups(text: Column, pattern: str, n: int, hint: str) -> Column:
+    """The ``n`` groups of a pattern that matches whole texts, found in one pass;
+    null where it doesn't match.  Only texts that hold ``hint`` are tried."""
+    marked = F.regexp_replace(text, pattern, "\u0001" + "\u0001".join(f"${k}" for k in range(1, n + 1)))
+    return F.when(F.lower(text).rlike(hint), F.when(F.startswith(marked, F.lit("\u0001")), F.split(marked, "\u0001")))
+
+
 def semantics(df: DataFrame, proposition: str = "proposition") -> DataFrame:
     """Adds claim_type, subject, relation, object, polarity, quantifier, modality,
-    definition, conditions (operator and value) and objective."""
-    p = F.col(proposition)
-    empty = F.lit("")
-    got = lambda c, pattern, k: F.nullif(F.regexp_extract(c, pattern, k), empty)
+    definition, conditions (operator and value) and objective.
+
+    Each pattern is matched once, and only on texts that hold its key words.
+    Control characters U+0001 in a proposition count as blanks.
+    """
     low = lambda c: F.lower(T.tidy(c))
-    aim = r"(?iU)^(.*?)\s+if\s+(.+?)\s+is\s+the\s+objective$"
-    when_if = r"(?iU)^(.*?)\s+if\s+(.+)$"
-    when_mark = r"(?iU)^(.*?)\s+(when|during|under|unless)\s+(.+)$"
-    definition = r"(?iU)\bunder\s+(?:an?\s+)?(.+?)\s+definition\b"
-    df = df.withColumn("objective", F.when(p.rlike(aim), low(F.regexp_extract(p, aim, 2)))).withColumn("__w", F.when(p.rlike(aim), F.trim(F.regexp_extract(p, aim, 1))).otherwise(p))
+    p = F.translate(F.col(proposition), "\u0001", " ")
+    df = df.withColumn("__p", p)
+    df = df.withColumn("__aim", _groups(F.col("__p"), r"(?iU)^(.*?)\s+if\s+(.+?)\s+is\s+the\s+objective$", 2, "objective"))
+    df = df.withColumn("__w", F.when(F.col("__aim").isNotNull(), F.trim(F.col("__aim")[1])).otherwise(F.col("__p")))
+    df = df.withColumn("__if", _groups(F.col("__w"), r"(?iU)^(.*?)\s+if\s+(.+)$", 2, "if"))
+    df = df.withColumn("__w", F.when(F.col("__if").isNotNull(), F.trim(F.col("__if")[1])).otherwise(F.col("__w")))
+    df = df.withColumn("__mark", _groups(F.col("__w"), r"(?iU)^(.*?)\s+(when|during|under|unless)\s+(.+)$", 3, "when|during|under|unless"))
+    df = df.withColumn("__w", F.when(F.col("__mark").isNotNull(), F.trim(F.col("__mark")[1])).otherwise(F.col("__w")))
+    condition = lambda mark, value: F.struct(mark.alias("operator"), low(value).alias("value"))
+    both = F.array(F.when(F.col("__if").isNotNull(), condition(F.lit("applies_when"), F.col("__if")[2])), F.when(F.col("__mark").isNotNull(), condition(F.concat(F.lit("applies_"), F.lower(F.col("__mark")[2])), F.col("__mark")[3])))
+    df = df.withColumn("conditions", F.array_sort(F.array_compact(both))).withColumn("objective", low(F.col("__aim")[2]))
+    definition = F.nullif(F.regexp_extract("__p", r"(?iU)\bunder\s+(?:an?\s+)?(.+?)\s+definition\b", 1), F.lit(""))
+    df = df.withColumn("definition", F.when(F.lower("__p").contains("definition"), low(definition)))
     w = F.col("__w")
-    df = df.withColumn("__c1", F.when(w.rlike(when_if), F.struct(F.lit("applies_when").alias("operator"), low(F.regexp_extract(w, when_if, 2)).alias("value"))))
-    df = df.withColumn("__w", F.when(w.rlike(when_if), F.trim(F.regexp_extract(w, when_if, 1))).otherwise(w))
-    mark = F.concat(F.lit("applies_"), F.lower(F.regexp_extract(w, when_mark, 2)))
-    df = df.withColumn("__c2", F.when(w.rlike(when_mark), F.struct(mark.alias("operator"), low(F.regexp_extract(w, when_mark, 3)).alias("value"))))
-    df = df.withColumn("__w", F.when(w.rlike(when_mark), F.trim(F.regexp_extract(w, when_mark, 1))).otherwise(w))
-    df = df.withColumn("conditions", F.array_sort(F.filter(F.array("__c1", "__c2"), lambda c: c.isNotNull())))
-    df = df.withColumn("definition", low(got(p, definition, 1)))
-    df = df.withColumn("__kind", F.when(w.rlike(MODAL), "modal").when(w.rlike(COPULA), "copula").when(w.rlike(DESCRIPTIVE), "descriptive"))
-    kind = F.col("__kind")
-    pick = lambda m, c, d: F.when(kind == "modal", m).when(kind == "copula", c).when(kind == "descriptive", d)
-    df = df.withColumn("subject", low(pick(F.regexp_extract(w, MODAL, 1), F.regexp_extract(w, COPULA, 1), F.regexp_extract(w, DESCRIPTIVE, 1))))
-    df = df.withColumn("relation", pick(T.lemma(F.regexp_extract(w, MODAL, 4)), F.lower(F.regexp_extract(w, COPULA, 2)), T.lemma(F.regexp_extract(w, DESCRIPTIVE, 2))))
-    df = df.withColumn("object", low(pick(F.regexp_extract(w, MODAL, 5), F.regexp_extract(w, COPULA, 4), F.regexp_extract(w, DESCRIPTIVE, 3))))
-    df = df.withColumn("modality", F.when(kind == "modal", T.collapse(F.lower(F.regexp_extract(w, MODAL, 2)))))
-    negated = F.when(kind == "modal", F.regexp_extract(w, MODAL, 3) != "").when(kind == "copula", F.regexp_extract(w, COPULA, 3) != "").otherwise(w.rlike(r"(?iU)\b(?:no|not|never)\b"))
+    modal = _groups(w, MODAL, 5, "should|must|may|can|will|tends")
+    # all three forms as mark, subject, verb, negation, object, modality
+    form = lambda mark, g, *at: F.array(F.lit(mark), *[F.lit(None).cast("string") if k is None else g[k] for k in at])
+    df = df.withColumn("__m", modal).withColumn("__c", F.when(F.col("__m").isNull(), _groups(w, COPULA, 4, "is|are")))
+    df = df.withColumn("__d", F.when(F.col("__m").isNull() & F.col("__c").isNull(), _groups(w, DESCRIPTIVE, 3, r"s\s")))
+    kind = F.when(F.col("__m").isNotNull(), form("modal", F.col("__m"), 1, 4, 3, 5, 2)).when(F.col("__c").isNotNull(), form("copula", F.col("__c"), 1, 2, 3, 4, None)).when(F.col("__d").isNotNull(), form("descriptive", F.col("__d"), 1, 2, None, 3, None))
+    df = df.withColumn("__f", kind)
+    f = lambda k: F.col("__f")[k]
+    df = df.withColumn("subject", low(f(1))).withColumn("object", low(f(4)))
+    df = df.withColumn("relation", F.when(f(0) == "copula", F.lower(f(2))).otherwise(T.lemma(f(2)))).withColumn("modality", T.collapse(F.lower(f(5))))
+    negated = F.when(f(0).isin("modal", "copula"), f(3) != "").otherwise(w.rlike(r"(?iU)\b(?:no|not|never)\b"))
     df = df.withColumn("polarity", F.when(negated, "negative").otherwise("positive"))
-    df = df.withColumn("quantifier", T.first_of(*[F.when(F.col("subject").rlike(rf"(?iU)\b{q}\b"), q) for q in QUANTIFIERS]))
+    first = F.regexp_extract("subject", rf"(?iU)\b({'|'.join(QUANTIFIERS)})\b", 1)  # any of them; then the first in the list's order
+    df = df.withColumn("quantifier", F.when(first != "", T.first_of(*[F.when(F.col("subject").rlike(rf"(?iU)\b{q}\b"), q) for q in QUANTIFIERS])))
     low_w = F.lower(w)
-    base = F.when(kind == "modal", F.when(F.col("modality").isin("should", "must"), "normative").when(F.col("modality") == "will", "predictive").otherwise("descriptive"))
-    base = base.when((kind == "copula") & (low_w.contains("defined as") | F.col("definition").isNotNull()), "definitional").otherwise("descriptive")
+    base = F.when(f(0) == "modal", F.when(F.col("modality").isin("should", "must"), "normative").when(F.col("modality") == "will", "predictive").otherwise("descriptive"))
+    base = base.when((f(0) == "copula") & (low_w.contains("defined as") | F.col("definition").isNotNull()), "definitional").otherwise("descriptive")
     causal = F.coalesce(F.col("relation").isin(*CAUSAL), F.lit(False)) | low_w.contains(" because ")
-    return df.withColumn("claim_type", F.when(causal, "causal").otherwise(base)).drop("__w", "__c1", "__c2", "__kind")
+    return df.withColumn("claim_type", F.when(causal, "causal").otherwise(base)).drop("__p", "__aim", "__w", "__if", "__mark", "__m", "__c", "__d", "__f")
 
 
 def source_claims(docs: DataFrame, id_col: str, text_col: str, prose: bool = True) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from veridock.functions import text as T
-from veridock.operators.claims import lines
+from veridock.functions import lines as L
+from veridock.functions.lines import lines
 
-_CHAPTER_WORDS = ["ch\\.?", "hoofdstuk", "capitolo", "cap[ií]tulo", "kapitel", "chapitre", "chapter"]
+_CHAPTER = "chapter|chapitre|kapitel|cap[ií]tulo|capitolo|hoofdstuk|ch\\.?"
 _UPPER = r"A-ZÀ-Þ0-9\"“("
-_EXPLICIT = r"(?iU)^(?:" + "|".join(reversed(_CHAPTER_WORDS)) + r")\s*(\d{1,2}|[ivxlcdm]{1,7})\b(.*)$"
+_EXPLICIT = r"(?iU)^(?:" + _CHAPTER + r")\s*(\d{1,2}|[ivxlcdm]{1,7})\b(.*)$"
 _TAIL = rf"^\s*$|^\s*[-.:—–]|^\s+[{_UPPER}]"
 _ROMAN_LINE = rf"^([IVXLCDM]+)\s*[.:]\s+[{_UPPER}]"
 _ROMAN_MARKED = r"^#{1,6}\s+([ivxlcdm]+)\s*[.:]\s+[A-Za-zÀ-Þ\"“(]"
@@ -23,8 +24,6 @@ _HAN_MARKED = rf"^#{{1,6}}\s+第?\s*([０-９{_HAN}]+)\s*(?:{_HAN_UNITS}|[·、.
 _THAI = r"(?U)^(?:#{1,6}\s+)?(?:ภาคที่|ตอนที่|บทที่|ภาค|ตอน|บท)\s*([0-9๐-๙]+)\b"
 _KOREAN = r"^(?:#{1,6}\s+)?제\s*([0-9]+)\s*[관절편장](?:\s*의\s*[0-9]+)?(?:\s+\S|[-.:]|\s*$)"
 _MARKER = r"^(?:#{1,6}|={1,6})\s+"
-_ATX = r"^(#{1,6}|={1,6})\s+(.+?)\s*#*$"
-_UNDERLINE = r"^(?:={2,}|-{2,})$"
 _CONTENTS = ["inhoudsopgave", "sommario", "indice", "inhaltsverzeichnis", "table des matières", "目次", "目錄", "目录", "sumário", "índice", "contents", "table of contents"]
 CONTENTS_LINE = r"(?imU)^\s*(?:" + "|".join(_CONTENTS) + r")\s*$"
 
@@ -53,7 +52,7 @@ ROMAN = {_roman(n): n for n in range(1, 201)}
 HAN = {s: n for n in range(1, 1000) for s in _han(n)}
 
 
-_CANDIDATE = r"(?iU)^\s*(?:(?:#{1,6}|={1,6})\s|(?:" + "|".join(reversed(_CHAPTER_WORDS)) + r")\s*[\divxlcdm]|[ivxlcdm]+\s*[.:]\s|第|บท|ตอน|ภาค|제)"
+_CANDIDATE = r"(?iU)^\s*(?:(?:#{1,6}|={1,6})\s|(?:" + _CHAPTER + r")\s*[\divxlcdm]|[ivxlcdm]+\s*[.:]\s|第|บท|ตอน|ภาค|제)"
 
 
 def _number_of(line: str) -> int | None:
@@ -104,20 +103,9 @@ def has_contents(text: Column) -> Column:
 
 
 def structural_headings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, depth, title) of marked and underlined headings outside fenced code."""
-    order = Window.partitionBy("id").orderBy("line_no")
-    rows = lines(docs, id_col, text_col).select("id", "line_no", T.collapse(F.col("line")).alias("s"))
-    fence = F.col("s").rlike("^(?:```|~~~)")
-    rows = rows.withColumn("fence", fence).withColumn("open", F.sum(fence.cast("int")).over(order) % 2 == 1)
-    rows = rows.withColumn("atx", F.col("s").rlike(_ATX) & ~F.col("fence") & ~F.col("open"))
-    rows = rows.withColumn("line_under", F.col("s").rlike(_UNDERLINE))
-    prev = lambda c: F.lag(c).over(order)
-    rows = rows.withColumn("above", F.when(~prev("fence") & ~prev("open") & ~prev("atx") & ~prev("line_under"), prev("s")))
-    under = F.col("line_under") & ~F.col("fence") & ~F.col("open") & (F.coalesce("above", F.lit("")) != "") & (F.length("s") >= F.length("above"))
-    title = F.lower(F.trim(F.regexp_extract("s", _ATX, 2)))
-    marked = F.col("atx") & (title != "") & ~title.rlike(r"^\p{Nd}") & title.rlike(r"[\p{L}\p{N}_]")
-    depth = F.when(under, F.when(F.col("s").startswith("="), 1).otherwise(2)).when(marked, F.length(F.regexp_extract("s", _ATX, 1)))
-    return rows.select("id", depth.alias("depth"), F.when(under, F.lower("above")).otherwise(title).alias("title")).where("depth IS NOT NULL")
+    """(id, line_no, depth, title) of marked and underlined headings outside fenced
+    code, found where each text lies."""
+    return L.structural_headings(docs, id_col, text_col)
 
 
 def detect(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
