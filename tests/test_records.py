@@ -75,8 +75,7 @@ def test_directions_and_events(spark):
         with pytest.raises(Exception, match="direction|finite|binary"):
             one(*bad)
     df = spark.createDataFrame([("accuracy", None, None, "rain", "rain"), ("accuracy", None, None, "rain", "sun"), ("accuracy", 0.7, 1.0, None, None), ("accuracy", 3.0, 3.0, None, None)], "r string, f double, v double, fl string, l string")
-    none = F.lit(None)
-    got = [r.x for r in df.select(prediction.loss(F.col("r"), F.col("f"), F.col("v"), none.cast("double"), none.cast("string"), F.col("fl"), F.col("l")).alias("x")).collect()]
+    got = [r.x for r in df.select(prediction.loss(F.col("r"), F.col("f"), F.col("v"), F.lit(None).cast("double"), F.lit(False), F.col("fl"), F.col("l")).alias("x")).collect()]
     assert got == [1.0, 0.0, 1.0, 1.0]
     with pytest.raises(Exception, match="between 0 and 1"):
         prediction.score(spark.createDataFrame([spec("b", "brier", 1.7, 0.5)], SPEC), spark.createDataFrame([("b", 1, T0 + DAY, 12.0, "src")], OBS)).collect()

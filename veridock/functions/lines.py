@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridock.plans.session import spread
+
 _ONE = np.zeros(256, bool)
 _ONE[[0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E]] = True
 _SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85                 　"
@@ -135,7 +137,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in _pieces(b):
                 yield numbered(part)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, line_no int, line string, start_offset int, paragraph int, section string")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"id {kind}, line_no int, line string, start_offset int, paragraph int, section string")
 
 
 def _matches(column: pa.Array, pattern: str) -> np.ndarray:
@@ -179,4 +181,4 @@ def structural_headings(docs: DataFrame, id_col: str, text_col: str) -> DataFram
             for part in _pieces(b):
                 yield structural(part)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, line_no int, depth int, title string")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"id {kind}, line_no int, depth int, title string")

@@ -94,26 +94,36 @@ def event(value: Column, threshold: Column, raw_direction: Column) -> Column:
     return F.when(none, bare).when(both, hit.cast("double")).otherwise(_fail("direction and threshold belong together", "double"))
 
 
-def accuracy(forecast: Column, value: Column, threshold: Column, raw_direction: Column, forecast_label: Column, label: Column) -> Column:
-    """1.0 where the forecast is right: a probability of at least one half against
-    the event, or, for anything but probabilities and binary outcomes, equality."""
-    said = (forecast >= 0.5).cast("double")
-    scaled = raw_direction.isNotNull() | threshold.isNotNull()
-    binary = finite(forecast) & forecast.between(0, 1) & value.isin(0.0, 1.0) & forecast_label.isNull() & label.isNull()
-    equal = F.coalesce(forecast_label, forecast.cast("string")).eqNullSafe(F.coalesce(label, value.cast("string")))
-    return F.when(scaled, ((probability(forecast, "a forecast") >= 0.5).cast("double") == event(value, threshold, raw_direction)).cast("double")).when(F.coalesce(binary, F.lit(False)), (said == value).cast("double")).otherwise(equal.cast("double"))
+def scaled(threshold: Column, raw_direction: Column) -> Column:
+    """Whether outcomes are measured against a threshold."""
+    return threshold.isNotNull() | raw_direction.isNotNull()
+
+
+def outcome(rule: Column, value: Column, threshold: Column, raw_direction: Column) -> Column:
+    """The event of an observation, for the rules that need one (else null)."""
+    return F.when((rule == "brier") | ((rule == "accuracy") & scaled(threshold, raw_direction)), event(value, threshold, raw_direction))
 
 
-def loss(rule: Column, forecast: Column, value: Column, threshold: Column, raw_direction: Column, forecast_label: Column | None = None, label: Column | None = None) -> Column:
-    """Score of one observation by rule; an unknown rule is refused."""
+def loss(rule: Column, forecast: Column, value: Column, happened: Column, measured: Column, forecast_label: Column | None = None, label: Column | None = None) -> Column:
+    """Score of one observation by rule; an unknown rule is refused.
+
+    ``happened`` is its :func:`outcome`, ``measured`` whether that has a
+    threshold.  Accuracy compares a probability of at least one half with the
+    event, and anything but probabilities and binary outcomes by equality.
+    """
     none = F.lit(None).cast("string")
-    f, v = number(forecast, "a forecast"), number(value, "an outcome")
-    miss = probability(forecast, "a forecast") - event(value, threshold, raw_direction)
+    forecast_label, label = none if forecast_label is None else forecast_label, none if label is None else label
+    error = F.when(finite(forecast) & finite(value), forecast - value).otherwise(_fail("an error needs two finite numbers", "double"))
+    chance = F.when(finite(forecast) & forecast.between(0, 1), forecast).otherwise(_fail("a forecast must be between 0 and 1", "double"))
+    binary = F.coalesce(finite(forecast) & forecast.between(0, 1) & value.isin(0.0, 1.0) & forecast_label.isNull() & label.isNull(), F.lit(False))
+    said = F.when(measured, chance).when(binary, forecast) >= 0.5
+    equal = F.coalesce(forecast_label, forecast.cast("string")).eqNullSafe(F.coalesce(label, value.cast("string")))
+    right = F.when(measured | binary, said.cast("double") == F.when(measured, happened).otherwise(value)).otherwise(equal)
     return (
-        F.when(rule == "brier", miss * miss)
-        .when(rule == "absolute_error", F.abs(f - v))
-        .when(rule == "squared_error", (f - v) * (f - v))
-        .when(rule == "accuracy", accuracy(forecast, value, threshold, raw_direction, none if forecast_label is None else forecast_label, none if label is None else label))
+        F.when(rule == "brier", F.pow(chance - happened, 2))
+        .when(rule == "absolute_error", F.abs(error))
+        .when(rule == "squared_error", F.pow(error, 2))
+        .when(rule == "accuracy", right.cast("double"))
         .otherwise(_fail("a scoring rule without a built-in scorer", "double"))
     )
 
@@ -288,7 +298,8 @@ def score(specs: DataFrame, observations: DataFrame, scored_at: Column | None =
     used = judged.where("reason IS NULL").dropDuplicates(["spec_id", "observation_id"])
     if scored_at is not None:
         used = used.where(F.when(scored_at.cast("timestamp") >= F.col("observed_at"), True).otherwise(_fail("scored before an observation")))
-    one = lambda forecast: loss(F.col("rule"), F.col(forecast), F.col("value"), F.col("threshold"), F.col("direction"), F.col(f"{forecast}_label"), F.col("label"))
+    used = used.withColumn("happened", outcome(F.col("rule"), F.col("value"), F.col("threshold"), F.col("direction")))
+    one = lambda forecast: loss(F.col("rule"), F.col(forecast), F.col("value"), F.col("happened"), scaled(F.col("threshold"), F.col("direction")), F.col(f"{forecast}_label"), F.col("label"))
     known = F.col("benchmark").isNotNull() | F.col("benchmark_label").isNotNull()
     scored = used.withColumn("x", one("forecast")).withColumn("b", F.when(known, one("benchmark")))
     agg = scored.groupBy("spec_id").agg(F.count("*").alias("n"), F.avg("x").alias("v"), F.avg("b").alias("bv"), F.when(F.count("*") > 1, F.stddev_samp("x") / F.sqrt(F.count("*"))).alias("se"))
