@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridock.llm import kernel
+from veridock.plans.session import spread
 
 SHINGLE = 2
 ANCHOR = 4
@@ -339,7 +340,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     one counts.  Other columns aren't read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()))
     schema = "id long, item long, first_word long, similarity double"
     parts = []
     for find in finders(items, item_id, item_text, threshold):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from veridock.llm import kernel
 from veridock.llm.samples import texts_by_class
+from veridock.plans.session import spread
 
 PIECE = 192
 #: Bytes of a piece of a training text (up to 3 more, to end with a character).
@@ -222,5 +223,5 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             names, score = shared.value.predict(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

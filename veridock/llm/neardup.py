@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from veridock.llm import kernel
 from veridock.llm.scratch import fresh, materialise, release
 from veridock.plans.components import connected_components
+from veridock.plans.session import spread
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
@@ -212,7 +213,7 @@ def _leaders(placed: DataFrame) -> DataFrame:
 def _components(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(profile, classes): id, h, n, d1, d2 of every row; and d1, d2, n, node, component
     and own (the smallest id and h) of each class."""
-    profile = materialise(rows.mapInArrow(_profile(width), "id long, h long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "minhash")
+    profile = materialise(spread(rows).mapInArrow(_profile(width), "id long, h long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "minhash")
     members = profile.where(F.col("id").isNotNull() & (F.col("n") > 0))
     grouped = members.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "h")).alias("own"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialise(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, by the table that is written

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from veridock.llm import kernel
 from veridock.llm.samples import labelled_texts
+from veridock.plans.session import spread
 
 BITS = 17
 DIM = 8
@@ -170,7 +171,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1)))], ["id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 

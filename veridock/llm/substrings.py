@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from veridock.llm import kernel
 from veridock.llm.scratch import materialise
+from veridock.plans.session import spread
 
 WIDTH = 50
 ANCHOR = 8
@@ -248,7 +249,7 @@ def _cut(width: int, with_text: bool):
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from veridock.llm import kernel
 from veridock.llm.scratch import materialise
+from veridock.plans.session import spread
 
 _CHUNK_BYTES = 8_000_000
 _CHUNK_TEXTS = 60_000
@@ -258,7 +259,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     _special_strings(tokenizer_path)
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     table = materialise(rows.mapInArrow(_frequencies(tokenizer_path, buckets), _SCHEMA), "pieces")
     uses = table.where("bucket >= 0").select("bucket", "chunk", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     partial = uses.select("chunk", "blob").mapInArrow(_bucket_sums(tokenizer_path), "chunk long, sums binary")
