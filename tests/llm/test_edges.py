@@ -67,6 +67,18 @@ def test_stages(spark, make_docs, odd_rows, tables, extra):
             out.collect()
 
 
+def test_stages_keep_clashing_columns(spark, make_docs, tables):
+    """Columns named like those that the stages use inside keep their values."""
+    docs = make_docs([(1, "a b c", "en", None), (2, "d e f"), (2, "d e f"), (None, None)])
+    for c in ("__n", "__kept", "__number", "__cut_id", "cut_id", "cut_h", "own_number", "own_key", "MIX_SLOT", "digest", "key"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, tables)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == "mine" for c in docs.columns[5:]), name
+
+
 def test_stage_decisions(spark, make_docs, tables):
     stages = dict(corpus_pipeline.STAGES)
     docs = make_docs([(1, "x a b c d e y"), (2, "x y z"), (3, "x y z"), (None, None), (4, "")])

@@ -11,6 +11,8 @@ K = 10
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the ten rows nearest to each queried one,
+    in Hamming distance of signs, ties by id; null ids and empty vectors are left out."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), K)
 

@@ -11,6 +11,7 @@ BLOCK_ROWS = 64
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, block, slot, place) of every document, null sources as the empty one."""
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), WEIGHTS, 1, BLOCK_ROWS)
 
 

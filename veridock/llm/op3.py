@@ -17,5 +17,6 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) of every document; null texts are empty."""
     counted = tokencount.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file())
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -19,4 +19,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document; null and empty texts get the bias alone."""
     return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

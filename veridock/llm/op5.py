@@ -10,4 +10,5 @@ RULES = urlfilter.Rules.of([("block", "net", "/"), ("allow", "example.net", "/en
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page; a null URL has an empty host and path."""
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES).select("page_id", "host", "path", "rule", "verdict")

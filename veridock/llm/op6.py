@@ -8,6 +8,7 @@ from veridock.llm import neardup
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document; texts without words are linked with nothing."""
     found = neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 

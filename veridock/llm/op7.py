@@ -16,4 +16,5 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document; ``und`` for texts without letters."""
     return identified(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -8,6 +8,7 @@ from veridock.llm import substrings
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every document; null texts have no words."""
     return substrings.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

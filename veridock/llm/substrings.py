@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridock.llm import kernel
-from veridock.llm.scratch import materialise
+from veridock.llm.scratch import fresh, materialise
 from veridock.plans.session import spread
 
 WIDTH = 50
@@ -302,7 +302,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     _, texts, cuts = repeated_windows(docs, id_col, text_col, width, anchor, hot)
     cut = texts.join(cuts, ["id", "h"]).mapInArrow(_cut(width, True), "id long, h long, n_removed long, digest string, kept_text string")
-    cut = cut.dropDuplicates(["id", "h"]).select(F.col("id").alias("__cut_id"), F.col("h").alias("__cut_h"), F.col("kept_text").alias("__cut_text"))
-    on = (F.col(id_col).cast("long") == F.col("__cut_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__cut_h"))
+    cut_id, cut_h, cut_text = fresh(docs.columns, "cut_id", "cut_h", "cut_text")
+    cut = cut.dropDuplicates(["id", "h"]).select(F.col("id").alias(cut_id), F.col("h").alias(cut_h), F.col("kept_text").alias(cut_text))
+    on = (F.col(f"`{id_col}`").cast("long") == F.col(cut_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(cut_h))
     joined = docs.join(cut, on, "left")
-    return joined.select(*[F.coalesce("__cut_text", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[F.coalesce(cut_text, F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -35,6 +35,8 @@ from veridock.plans.session import spread
 _CHUNK_BYTES = 8_000_000
 _CHUNK_TEXTS = 60_000
 _KNOWN = 1_500_000
+#: Most buckets: a chunk has some 100,000 distinct pre-tokens, and a blob of its own for each bucket.
+MAX_BUCKETS = 1024
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -255,10 +257,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     default.  A null or empty text has no bytes and no tokens.  One output row
     per input row, repeated rows and null ids included; other columns aren't
     read.  ``tokenizer_path`` must be readable on every executor; ``buckets``
-    (of pre-tokens) is the session's number of shuffle partitions.
+    (of pre-tokens) is the session's number of shuffle partitions, at most
+    ``MAX_BUCKETS``.
     """
     _special_strings(tokenizer_path)
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
     rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     table = materialise(rows.mapInArrow(_frequencies(tokenizer_path, buckets), _SCHEMA), "pieces")
     uses = table.where("bucket >= 0").select("bucket", "chunk", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")

@@ -1,38 +1,41 @@
-"""Small labelled table of invented URLs: 1 is to be blocked, 0 allowed."""
+"""Small labelled table of invented URLs: 1 is to be blocked, 0 allowed.
 
-_BLOCK_HOSTS = [
-    "cheap-pills.example.com", "www.cheap-pills.example.com", "spam-farm.example.org", "best-casino-bonus.example.com", "free-slots-online.example.net",
-    "buy-viagra-now.example.com", "discount-meds.example.org", "online-pharmacy.example.com", "win-big-jackpot.example.org", "poker-bonus.example.com",
-    "xxx-cams.example.com", "hot-singles.example.net", "adult-videos.example.org", "sex-chat.example.com", "payday-loans-fast.example.com",
-    "quick-cash-loan.example.org", "replica-watches.example.com", "fake-rolex-shop.example.net", "seo-backlinks.example.com", "link-farm.example.org",
-    "crypto-doubler.example.com", "free-bitcoin-now.example.net", "miracle-weight-loss.example.com", "cheap-replica-bags.example.org", "torrent-cracks.example.com",
-    "warez-keygen.example.net", "spam-blast.example.com", "click-farm.example.org", "bet365-tips.example.com", "casino-royale-spins.example.net",
-]
-_ALLOW_HOSTS = [
-    "www.example.org", "blog.harbor.example.com", "news.valley.example.net", "docs.garden.example.org", "m.river.example.com", "library.example.edu",
-    "www.museum.example.org", "therin.example.net", "blog.theren.example.com", "thother.example.org", "www.anthre.example.com", "m.tionsh.example.net",
-    "blog.erthan.example.org", "city-council.example.org", "weather.example.net", "recipes.example.com", "physics.example.edu", "school.example.org",
-    "journal.example.net", "maps.example.com", "history.example.org", "forum.linux.example.org", "wiki.science.example.com", "store.books.example.com",
-    "research.example.edu", "www.hathen.example.org", "ingthe.example.com", "stonre.example.net", "atwhou.example.org", "blog.ndtion.example.com",
-    "parks.example.org", "music.example.net", "www.bakery.example.com", "clinic.example.org", "www.choir.example.net", "farm.example.com",
-]
-_BLOCK_PATHS = ["/buy-now", "/cheap/viagra", "/free-bonus/spin", "/xxx/videos", "/loans/apply-fast", "/fr/176/", "/en/680", "/casino/jackpot.html", "/de/12", "/pills?page=2"]
-_ALLOW_PATHS = ["/en/528", "/fr/825?page=2", "/de/252.html", "/es/978/", "/about", "/articles/2021/05/garden", "/wiki/Main_Page", "/en/25#top", "/blog/post-12", "/library/catalogue", "/", ""]
-_BAD_PATHS = ["/buy-viagra-online", "/cheap/pills/order", "/free-casino-bonus", "/xxx/free-porn", "/spam/backlinks.html", "/adult/sex-videos"]
+Hosts and paths are made of common English words.  Every host stands in one
+class only; some ordinary hosts have a page to be blocked, some hosts to be
+blocked an ordinary page.
+"""
 
-_SYLLABLES = ["th", "er", "an", "in", "on", "st", "re", "ti", "ha", "es", "nd", "en", "ou", "ea", "wh", "ble", "tion", "ly", "or", "sh"]
-_NAMES = [a + b + c for i, a in enumerate(_SYLLABLES) for b, c in ((_SYLLABLES[(i * 7 + 3) % 20], _SYLLABLES[(i * 11 + 5) % 20]), ("th", _SYLLABLES[(i * 3 + 1) % 20]), (_SYLLABLES[(i * 13 + 2) % 20], ""))]
+_BAD = {
+    "drugs": ["cheap-pills", "buy-viagra-now", "discount-meds", "online-pharmacy", "no-prescription-drugs", "cialis-store", "steroids-shop"],
+    "gambling": ["best-casino-bonus", "free-slots-online", "win-big-jackpot", "poker-bonus", "bet-now-tips", "casino-royale-spins", "free-bets", "roulette-cash"],
+    "adult": ["xxx-cams", "hot-singles", "adult-videos", "sex-chat", "nude-pics", "free-porn-tube", "escort-girls"],
+    "money": ["payday-loans-fast", "quick-cash-loan", "crypto-doubler", "free-bitcoin-now", "get-rich-today", "easy-money-system", "forex-profit-robot"],
+    "fakes": ["replica-watches", "fake-rolex-shop", "cheap-replica-bags", "torrent-cracks", "warez-keygen", "serial-number-crack", "counterfeit-brands"],
+    "spam": ["seo-backlinks", "link-farm", "spam-farm", "spam-blast", "click-farm", "buy-followers-likes", "mass-mailer", "miracle-weight-loss", "diet-pills-free"],
+}
+_GOOD = (
+    "harbor valley garden river museum library council weather recipes physics school journal maps history forum science books research parks music bakery clinic choir farm "
+    "astronomy baking bicycle biology bridges canals carpentry castles chemistry chess cinema climate coffee compost dance desert dictionary drawing ecology engine essays "
+    "fabric ferry fishing forest geology glacier grammar guitar hiking horses island kitchen knitting lake language law lighthouse linguistics literature mathematics meadow "
+    "medicine memory mountain navy newspaper observatory ocean opera orchard painting paper philosophy photography piano planets poetry pottery printing railway "
+    "robotics sailing sculpture sewing soccer statistics stories teaching theatre tides tools trains translation university village violin volcano walking water wildlife winter"
+).split()
+_BAD_PATHS = ["/buy-now", "/cheap/viagra", "/free-bonus/spin", "/xxx/videos", "/loans/apply-fast", "/casino/jackpot.html", "/pills?page=2", "/win/free-cash", "/adult/sex-videos", "/spam/backlinks.html"]
+_GOOD_PATHS = ["", "/", "/about", "/articles/2021/05/garden", "/wiki/Main_Page", "/blog/post-12", "/library/catalogue", "/contact.html", "/news/today?page=3", "/a/b/c", "/guide#top", "/index.php?id=7"]
 _PREFIXES = ["", "www.", "blog.", "m.", "news."]
-_ENDS = ["com", "net", "org"]
-_ALLOW_HOSTS += [f"{_PREFIXES[i % 5]}{n}.example.{_ENDS[i % 3]}" for i, n in enumerate(_NAMES)]
-_BLOCK_HOSTS += [f"{_PREFIXES[1 + i % 4]}{h}" for i, h in enumerate(_BLOCK_HOSTS) if not h.startswith("www.")]
-_BLOCK_HOSTS += ["free-bets.example.org", "www.casino-win.example.net", "bets-win.example.com", "pills-cheap.example.net", "farm-spam.example.com", "win-free-casino.example.org"]
-_NEUTRAL_PATHS = [f"/{lang}/{n}{end}" for lang, n, end in (("en", 528, ""), ("fr", 825, "/"), ("de", 252, ".html"), ("es", 978, ""), ("en", 17, ".html"), ("fr", 4, ""))]
+_ENDS = ["com", "net", "org", "edu", "info"]
 
+
+def _hosts(names: list[str]) -> list[str]:
+    return [f"{_PREFIXES[(i + j) % 5]}{n}.{'example.' if (i + j) % 2 else ''}{_ENDS[(i + 2 * j) % 5]}" for i, n in enumerate(names) for j in range(2)]
+
+
+BLOCK_HOSTS = _hosts([n for names in _BAD.values() for n in names])
+ALLOW_HOSTS = _hosts(_GOOD)
 LABELLED_URLS: list[tuple[str, int]] = (
-    [(f"https://{h}{_BLOCK_PATHS[i % len(_BLOCK_PATHS)]}", 1) for i, h in enumerate(_BLOCK_HOSTS)]
-    + [(f"http://{h}{_NEUTRAL_PATHS[(i + j) % 6]}", 1) for i, h in enumerate(_BLOCK_HOSTS) for j in (0, 3)]
-    + [(f"http://{h}{_ALLOW_PATHS[i % len(_ALLOW_PATHS)]}", 0) for i, h in enumerate(_ALLOW_HOSTS)]
-    + [(f"https://{h}{_NEUTRAL_PATHS[(i + j) % 6]}", 0) for i, h in enumerate(_ALLOW_HOSTS) for j in (0, 2)]
-    + [(f"https://{h}{_BAD_PATHS[i % 6]}", 1) for i, h in enumerate(_ALLOW_HOSTS) if i % 4 == 0]
+    [(f"https://{h}{_BAD_PATHS[i % 10]}", 1) for i, h in enumerate(BLOCK_HOSTS)]
+    + [(f"http://{h}{_GOOD_PATHS[(i + j) % 12]}", 1) for i, h in enumerate(BLOCK_HOSTS) for j in (0, 5)]
+    + [(f"http://{h}{_GOOD_PATHS[i % 12]}", 0) for i, h in enumerate(ALLOW_HOSTS)]
+    + [(f"https://{h}{_GOOD_PATHS[(i + 7) % 12]}", 0) for i, h in enumerate(ALLOW_HOSTS)]
+    + [(f"https://{h}{_BAD_PATHS[i % 10]}", 1) for i, h in enumerate(ALLOW_HOSTS) if i % 6 == 0]
 )
