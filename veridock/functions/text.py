@@ -11,7 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -62,6 +62,22 @@ def normalized_exact(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else gap.sub(" ", unicodedata.normalize("NFKC", t).casefold()).strip())
 
 
+@F.pandas_udf(StringType())
+def folded_exact(text: pd.Series) -> pd.Series:
+    """Compatibility form with full case folding of any Unicode text."""
+    import unicodedata
+
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def folded_all_exact(texts: pd.Series) -> pd.Series:
+    """:func:`folded_exact` of every text of an array."""
+    import unicodedata
+
+    return texts.map(lambda own: None if own is None else [None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in own])
+
+
 def content_tokens(normal: Column) -> Column:
     """Distinct words of a normal form without stop words; none for null."""
     words = F.array_except(F.array_distinct(F.split(F.coalesce(normal, F.lit("")), " ")), F.array(*[F.lit(w) for w in [*STOP_WORDS, ""]]))
@@ -90,23 +106,18 @@ def plain_estimate(text: Column) -> Column:
     return F.coalesce(F.floor(word_count(text) / F.lit(0.75)), F.lit(0)).cast("long")
 
 
-def _any(*parts: str) -> str:
-    return "(?:" + "|".join(parts) + ")"
-
-
-_GAP = r"\s+"
 #: (rule, pattern): instruction-shaped text.
 SAFETY_RULES: tuple[tuple[str, str], ...] = (
-    ("prompt.chat_template", _any(r"<\|\s*im_start\s*\|>", r"\[\s*INST\s*\]")),
-    ("prompt.disregard_system", r"\bdisregard" + _GAP + r"(?:the\s+)?" + _any("developer", "system") + r"\b"),
-    ("prompt.fake_message_prefix", r"^\s*" + _any("assistant", "developer", "system") + r"\s*:"),
-    ("prompt.ignore_previous", r"\bignore" + _GAP + "(?:" + _any("the", "any", "all") + _GAP + ")?" + _any("prior", "previous") + _GAP + _any("message", "rule", "prompt", "instruction") + r"s?\b"),
-    ("prompt.role_reassignment", r"\byou" + _GAP + "are" + _GAP + r"now\b"),
+    ("prompt.chat_template", r"<\|\s*im_start\s*\|>|\[\s*INST\s*\]"),
+    ("prompt.disregard_system", r"\bdisregard\s+(?:the\s+)?(?:system|developer)\b"),
+    ("prompt.fake_message_prefix", r"^\s*(?:system|developer|assistant)\s*:"),
+    ("prompt.ignore_previous", r"\bignore\s+(?:(?:all|any|the)\s+)?(?:previous|prior)\s+(?:instruction|prompt|rule|message)s?\b"),
+    ("prompt.role_reassignment", r"\byou\s+are\s+now\b"),
     ("prompt.system_tag", r"<\s*/?\s*system\b[^>]*>"),
     ("prompt.tool_control", r"\btool[-_ ]?call\b"),
 )
-OUTBOUND = _any("https?://", r"\b" + _any("upload", "transmit", "send", "post", "wget", "curl") + r"\b")
-SENSITIVE = _any(r"\bapi[-_ ]?keys?\b", r"\bcredentials?\b", r"\bsecrets?\b", r"\.env\b")
+OUTBOUND = r"https?://|\b(?:curl|wget|send|post|upload|transmit)\b"
+SENSITIVE = r"\bapi[-_ ]?keys?\b|\bcredentials?\b|\bsecrets?\b|\.env\b"
 
 
 def safety_rules(text: Column) -> Column:

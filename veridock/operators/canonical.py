@@ -40,32 +40,73 @@ def semantics_json() -> Column:
     )
 
 
-def canonicalize(claims: DataFrame, group_col: str = "source_id") -> DataFrame:
-    """Groups claims by type and full semantics.
-
-    A claim without subject, relation, and object or outcome is an abstention:
-    it stays alone, whatever its wording.  Repeated rows of a claim id count
-    once.  Returns canonical_id, claim_type, proposition (the smallest by
-    normal form), members, variants, sources and the semantics columns.  The
-    group key is a digest, so the shuffle moves one row per claim; members of
-    one canonical claim are collected because they are its result.
+def _exact(claims: DataFrame) -> DataFrame:
+    """Claims whose texts are folded for any Unicode text (compatibility form, full
+    case folding) before the native normal form is taken of them."""
+    own = claims
+    for c in ("subject", "relation", "object", "quantifier", "modality", "definition", "objective", *[k for k, kind in SCOPE.items() if kind == "string"]):
+        own = own.withColumn(c, T.folded_exact(F.col(c)))
+    values = T.folded_all_exact(F.transform("conditions", lambda c: c["value"]))
+    own = own.withColumn("conditions", F.zip_with("conditions", values, lambda c, v: F.struct(c["operator"].alias("operator"), v.alias("value"))))
+    return own.withColumn("assumptions", T.folded_all_exact(F.col("assumptions"))).withColumn("__folded", T.folded_exact(F.col("proposition")))
+
+
+def keyed(claims: DataFrame, exact: bool = False) -> DataFrame:
+    """Source claims with canonical_id, semantics_json and the normal form of the
+    proposition.
+
+    Repeated rows of a claim id count once; different content under one id is an
+    error.  A claim without subject, relation, and object or outcome is an
+    abstention: it stays alone, whatever its wording.  ``exact`` folds any
+    Unicode text; the native form is exact for text in NFKC whose only special
+    case fold is the sharp s.
     """
-    rows = with_scope(claims).dropDuplicates(["claim_id"])
+    rows = with_scope(claims)
+    rows = _exact(rows) if exact else rows.withColumn("__folded", F.col("proposition"))
     filled = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     structured = filled("subject") & filled("relation") & (F.col("object").isNotNull() | F.col("outcome_metric").isNotNull() | F.col("outcome_direction").isNotNull())
     base = {"claim_type": J.json_string(F.col("claim_type")), "semantics": F.col("semantics_json")}
-    alone = base | {"normalized_proposition": _norm_json("proposition"), "incomplete_source_claim_id": J.json_string(F.col("claim_id"))}
+    alone = base | {"normalized_proposition": _norm_json("__folded"), "incomplete_source_claim_id": J.json_string(F.col("claim_id"))}
     rows = rows.withColumn("semantics_json", semantics_json())
     rows = rows.withColumn("canonical_id", J.stable_id("canonical_claim", F.when(structured, J.json_object(**base)).otherwise(J.json_object(**alone))))
-    rows = rows.withColumn("__norm", T.normalized(F.col("proposition")))
-    order = F.struct("__norm", F.trim("proposition"), "claim_id")
-    kept = ["claim_type", "semantics_json", "subject", "relation", "object", "polarity", "quantifier", "modality", "definition", "conditions", "objective", *SCOPE]
-    first = F.min_by(F.struct(*kept), F.col("claim_id"))
+    rows = rows.withColumn("structured", structured).withColumn("norm", T.normalized(F.col("__folded"))).drop("__folded")
+    content = F.xxhash64("canonical_id", "proposition")
+    checked = rows.withColumn("__content", content).groupBy("claim_id").agg(F.min("__content").alias("lo"), F.max("__content").alias("hi"), F.first(F.struct(*rows.columns)).alias("r"))
+    one = F.when(F.col("lo") == F.col("hi"), F.col("r")).otherwise(F.raise_error(F.concat(F.lit("different content under claim id "), F.col("claim_id"))))
+    return checked.select(one.alias("r")).select("r.*")
+
+
+_KEPT = ["claim_type", "semantics_json", "subject", "relation", "object", "polarity", "quantifier", "modality", "definition", "conditions", "objective", *SCOPE]
+
+
+def classes(keyed_claims: DataFrame, group_col: str = "source_id") -> DataFrame:
+    """One row per canonical claim with counts in place of lists: canonical_id,
+    proposition (the smallest by normal form), n_members, n_sources and the
+    semantics.  Every aggregate combines before the shuffle, however frequent a
+    claim is; the members are the rows of ``keyed_claims``."""
+    order = F.struct("norm", F.trim("proposition"), "claim_id")
+    per_group = keyed_claims.groupBy("canonical_id", F.col(group_col).alias("g")).agg(
+        F.min(order).alias("first"), F.count("*").alias("n"), F.min(F.struct("claim_id", F.struct("structured", *_KEPT).alias("s")))["s"].alias("s"), F.min("claim_id").alias("c")
+    )
+    merged = per_group.groupBy("canonical_id").agg(F.min("first")["col2"].alias("proposition"), F.sum("n").alias("n_members"), F.count("g").alias("n_sources"), F.min_by("s", "c").alias("s"))
+    return merged.select("canonical_id", "proposition", "n_members", "n_sources", "s.*")
+
+
+def canonicalize(claims: DataFrame, group_col: str = "source_id", exact: bool = False) -> DataFrame:
+    """Groups claims by type and full semantics (see :func:`keyed`).
+
+    Returns canonical_id, claim_type, proposition, members, variants, sources and
+    the semantics columns.  The lists make a row as long as its claim is
+    frequent; :func:`keyed` and :func:`classes` hold the same as two tables.
+    """
+    rows = keyed(claims, exact)
+    order = F.struct("norm", F.trim("proposition"), "claim_id")
+    first = F.min_by(F.struct(*_KEPT), F.col("claim_id"))
     grouped = rows.groupBy("canonical_id").agg(
         first.alias("s"),
         F.min_by(F.trim("proposition"), order).alias("proposition"),
         F.array_sort(F.collect_set("claim_id")).alias("members"),
-        F.transform(F.array_sort(F.collect_set(F.struct("__norm", F.trim("proposition").alias("raw")))), lambda x: x["raw"]).alias("variants"),
+        F.transform(F.array_sort(F.collect_set(F.struct("norm", F.trim("proposition").alias("raw")))), lambda x: x["raw"]).alias("variants"),
         F.array_sort(F.collect_set(F.col(group_col).cast("string"))).alias("sources"),
     )
     return grouped.select("canonical_id", "proposition", "members", "variants", "sources", "s.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridock.functions import text as T
-from veridock.operators import canonical, claims, evaluation, prediction, provenance, relations, store, structure, synthesis
+from veridock.operators import canonical, claims, evaluation, ladder_queries, prediction, provenance, relations, store, structure, synthesis
 from veridock.plans.scratch import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,24 +190,33 @@ _CANON = f""", keyed AS (
 
 @_query(f"{_HEAD}{_CANON} SELECT claim_type, ns AS subject, nr AS relation, no AS object, polarity, count(*) AS members, count(DISTINCT id) AS sources, min(struct_pack(a := np, b := trim(proposition))).b AS proposition FROM structured GROUP BY claim_type, ns, nr, no, polarity, quantifier, conds")
 def canonical_claims(spark, sf_dir):
-    k = canonical.canonicalize(_claims(spark, sf_dir))
+    k = canonical.classes(canonical.keyed(_claims(spark, sf_dir))).where("structured")
     n = lambda c: T.normalized(F.col(c))
-    rows = k.where((F.col("subject") != "") & (F.col("relation") != "") & F.col("object").isNotNull())
-    return rows.select("claim_type", n("subject").alias("subject"), n("relation").alias("relation"), n("object").alias("object"), "polarity", F.size("members").cast("long").alias("members"), F.size("sources").cast("long").alias("sources"), "proposition")
+    return k.select("claim_type", n("subject").alias("subject"), n("relation").alias("relation"), n("object").alias("object"), "polarity", F.col("n_members").alias("members"), F.col("n_sources").alias("sources"), "proposition")
+
+
+@_query(f"{_HEAD}{_CANON} SELECT coalesce(subject <> '' AND relation <> '' AND object IS NOT NULL, false) AS structured, claim_type, count(*) AS members, CAST(count(DISTINCT CASE WHEN coalesce(subject <> '' AND relation <> '' AND object IS NOT NULL, false) THEN claim_type || '|' || ns || '|' || nr || '|' || no || '|' || polarity || '|' || coalesce(quantifier, '') || conds ELSE id || '|' || line_no || '|' || n END) AS BIGINT) AS classes FROM keyed GROUP BY 1, 2")
+def canonical_abstentions(spark, sf_dir):
+    """Claims and canonical claims with and without a whole structure; the latter stay alone."""
+    k = canonical.keyed(_claims(spark, sf_dir))
+    per = k.groupBy("structured", "claim_type", "canonical_id").agg(F.count("*").alias("n"))
+    return per.groupBy("structured", "claim_type").agg(F.sum("n").alias("members"), F.count("*").alias("classes"))
 
 
 @_query(f"""{_HEAD}{_CANON} SELECT 'canonical_claim_' || sha256('{{"claim_type":"' || claim_type || '","semantics":{{"assumptions":[],"conditions":[' || conds || '],"definitions":{{}},"geography":null,"modality":null,"object_or_value":"' || no || '","objective":null,"outcome":{{}},"polarity":"' || polarity || '","population":null,"quantifier":' || coalesce('"' || quantifier || '"', 'null') || ',"relation":"' || nr || '","subject":"' || ns || '","temporal_scope":null,"time_horizon":null}}}}') AS canonical_id, count(*) AS members FROM structured GROUP BY 1""")
 def canonical_ids(spark, sf_dir):
-    k = canonical.canonicalize(_claims(spark, sf_dir)).where((F.col("subject") != "") & (F.col("relation") != "") & F.col("object").isNotNull())
-    return k.select("canonical_id", F.size("members").cast("long").alias("members"))
+    k = canonical.keyed(_claims(spark, sf_dir)).where("structured")
+    return k.groupBy("canonical_id").agg(F.count("*").alias("members"))
 
 
 @_query(f"{_HEAD}{_CANON}, src AS (SELECT s.*, d.source FROM structured s JOIN documents d ON d.doc_id = s.id) SELECT claim_type, ns AS subject, nr AS relation, no AS object, polarity, count(DISTINCT source) AS groups, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM src GROUP BY claim_type, ns, nr, no, polarity, quantifier, conds HAVING count(DISTINCT source) >= 2")
 def cross_source_support(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "source")
-    k = canonical.canonicalize(_claims(spark, sf_dir).join(d, "source_id"), "source").where((F.col("subject") != "") & (F.col("relation") != "") & F.col("object").isNotNull() & (F.size("sources") >= 2))
+    rows = canonical.keyed(_claims(spark, sf_dir)).where("structured").select("canonical_id", "source_id", "claim_type", "subject", "relation", "object", "polarity").join(d, "source_id")
     n = lambda c: T.normalized(F.col(c))
-    return k.select("claim_type", n("subject").alias("subject"), n("relation").alias("relation"), n("object").alias("object"), "polarity", F.size("sources").cast("long").alias("groups"), F.array_join("sources", ",").alias("sources"))
+    one = F.first(F.struct("claim_type", n("subject").alias("subject"), n("relation").alias("relation"), n("object").alias("object"), "polarity")).alias("s")
+    k = rows.groupBy("canonical_id", "source").agg(one).groupBy("canonical_id").agg(F.first("s").alias("s"), F.count("source").alias("groups"), F.array_sort(F.collect_list("source")).alias("sources")).where("groups >= 2")
+    return k.select("s.*", "groups", F.array_join("sources", ",").alias("sources"))
 
 
 @_query(f"{_HEAD} SELECT 'ok' AS verdict, count(*) AS n FROM typed GROUP BY 1")
@@ -315,6 +324,29 @@ def cheatsheet_lines(spark, sf_dir):
     return render.cheatsheet(synthesis.assertions(k, r))
 
 
+# -- claims that reach every rung, made from the whole supplier table ----------
+
+
+@_query(ladder_queries.LADDER_SQL)
+def relation_ladder(spark, sf_dir):
+    return ladder_queries.ladder(_table(spark, sf_dir, "supplier"))
+
+
+@_query(ladder_queries.LABELS_SQL)
+def relation_labels(spark, sf_dir):
+    return ladder_queries.labels(_table(spark, sf_dir, "supplier"))
+
+
+@_query(ladder_queries.STATUS_SQL)
+def ladder_status(spark, sf_dir):
+    return ladder_queries.statuses(_table(spark, sf_dir, "supplier"))
+
+
+@_query(ladder_queries.DISPUTES_SQL)
+def ladder_disputes(spark, sf_dir):
+    return ladder_queries.disputes(_table(spark, sf_dir, "supplier"))
+
+
 # -- evaluation, prediction ---------------------------------------------------
 
 
@@ -423,17 +455,21 @@ def fk_orphans(spark, sf_dir):
 
 @_query("SELECT doc_id, item_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS start_offset FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_passage_lookup(spark, sf_dir):
-    """Exact excerpts.  A passage's longest inner word is a word of any document that
-    holds it, so documents and items meet on that word before texts are compared."""
-    d, b = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    """Exact excerpts.  A passage of three words or more has an inner word, which is a
+    word of any document that holds it; passages and documents meet on the longest
+    of them before texts are compared.  Shorter passages can begin and end inside
+    words: those are told from each other by themselves alone, in one list, and
+    every text is searched for all of it (an alternation, not a pair of tables)."""
+    d, b = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").where("text IS NOT NULL AND text != ''")
     words = F.split("text", r"[ \n]+")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    longest = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     items = b.select("item_id", F.col("text").alias("passage"), longest.alias("word"))
     places = d.select("doc_id", F.explode(F.array_distinct(words)).alias("word"))
-    met = places.join(items.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
+    met = places.join(items.where("word IS NOT NULL").select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
     held = met.join(items, "item_id").join(d.select("doc_id", "text"), "doc_id").where(F.expr("contains(text, passage)"))
-    return held.select("doc_id", "item_id", (F.expr("locate(passage, text)") - 1).cast("long").alias("start_offset"))
+    out = held.select("doc_id", "item_id", (F.expr("locate(passage, text)") - 1).cast("long").alias("start_offset"))
+    short = items.where("word IS NULL OR word = ''").select("item_id", "passage")
+    return out.unionByName(provenance.short_passages(d, short, "doc_id", "text"))
 
 
 @_query("SELECT role, text, min(conv_id) AS conv_id, count(*) AS copies FROM conversations GROUP BY role, text")

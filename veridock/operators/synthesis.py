@@ -1,10 +1,11 @@
-"""Synthesis of the claim graph: assertions, topics, disputes, gaps."""
+"""Synthesis of the claim graph: assertions, topics, disputes, gaps, and the artifact of all of them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridock.functions import identity as J
@@ -17,6 +18,26 @@ CONDITIONAL = ["alternative", "conditional_disagreement", "qualification", "refi
 CONFLICT = ["alternative", "conditional_disagreement", "contradiction", "tension"]
 
 
+RATIONALE = {
+    "consensus": "Independent groups support it and nothing recorded opposes it; this is no measure of truth.",
+    "contested": "A recorded conflict or a tension of definitions opposes it.",
+    "conditional": "It holds under conditions, beside a recorded alternative, qualification or conditional disagreement.",
+    "minority_view": "Fewer independent groups support it than an opposing position; it is kept, and no winner is chosen.",
+    "unresolved": "What is recorded doesn't suffice for consensus, conflict or conditions.",
+}
+NOTES = ["Each assertion names its canonical and source claims, which lead to exact places.", "A status describes recorded relations; it is no measure of truth, confidence, evidence or prediction."]
+NOTE_NO_GROUPS = "Independence of sources wasn't given, so neither consensus nor minority was inferred."
+NOTE_UNMAPPED = "Consensus and minority were withheld where independence is only partly known."
+
+
+def rationale(status: Column) -> Column:
+    """Why an assertion has its status."""
+    out = F.lit(None).cast("string")
+    for name, text in RATIONALE.items():
+        out = F.when(status == name, text).otherwise(out)
+    return out
+
+
 def incident(relations: DataFrame) -> DataFrame:
     """(id, other, relation_type) for both ends of every relation."""
     both = relations.select(F.col("l").alias("id"), F.col("r").alias("other"), "relation_type")
@@ -68,7 +89,10 @@ def assertions(claims: DataFrame, relations: DataFrame, groups: DataFrame | None
     out = joined.withColumn("status", status)
     support = F.array_sort(F.array_distinct(F.concat("members", F.coalesce("support", none))))
     oppose = F.array_sort(F.array_distinct(F.coalesce("oppose", none)))
-    return out.select("canonical_id", F.col("proposition").alias("text"), "status", support.alias("supporting"), oppose.alias("opposing"), F.when(F.col("status") == "conditional", condition_summary()).alias("condition_summary"))
+    out = out.select("canonical_id", F.col("proposition").alias("text"), "status", support.alias("supporting"), oppose.alias("opposing"), F.when(F.col("status") == "conditional", condition_summary()).alias("condition_summary"))
+    strings = lambda a: J.json_array(F.transform(a, J.json_string))
+    payload = J.json_object(canonical_claim_ids=strings(F.array("canonical_id")), status=J.json_string(F.col("status")), supporting_source_claim_ids=strings("supporting"), opposing_source_claim_ids=strings("opposing"), condition_summary=J.json_string(F.col("condition_summary")))
+    return out.withColumn("rationale", rationale(F.col("status"))).withColumn("assertion_id", J.stable_id("synthesis_assertion", payload))
 
 
 def clusters(claims: DataFrame, relations: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -83,6 +107,36 @@ def clusters(claims: DataFrame, relations: DataFrame, cut: Callable[[DataFrame,
     return grouped.select(J.stable_id("topic_cluster", payload).alias("cluster_id"), "topic", "canonical_ids", F.size("canonical_ids").cast("long").alias("n_claims"))
 
 
+def clustered(clusters: DataFrame, assertions: DataFrame) -> DataFrame:
+    """(cluster_id, assertion_id) of every topic: its claims' assertions."""
+    held = clusters.select("cluster_id", F.explode("canonical_ids").alias("canonical_id"))
+    return held.join(assertions.select("canonical_id", "assertion_id"), "canonical_id").select("cluster_id", "assertion_id")
+
+
+def assumptions(left: Column, right: Column) -> tuple[Column, Column]:
+    """Sorted normal forms of assumptions that two claims share, and of those that only one has."""
+    none = F.array().cast("array<string>")
+    l, r = (F.array_distinct(F.transform(F.coalesce(x, none), T.normalized)) for x in (left, right))  # noqa: E741
+    return F.array_sort(F.array_intersect(l, r)), F.array_sort(F.array_union(F.array_except(l, r), F.array_except(r, l)))
+
+
+def reconciliation(settled: Column, variables: Column) -> Column:
+    """How positions that differ in their scope can both be applied; null for open conflicts."""
+    named = F.when(F.size(variables) > 0, F.array_join(variables, ", ")).otherwise("recorded scope")
+    return F.when(settled, F.concat(F.lit("Apply each position under its own conditions and objective; compare: "), named, F.lit(".")))
+
+
+def described_disputes(relations: DataFrame, claims: DataFrame) -> DataFrame:
+    """:func:`disputes` with topic, shared and differing assumptions, and reconciliation."""
+    side = lambda c: claims.select(F.col("canonical_id").alias(c), F.col("assumptions").alias(f"{c}_assumptions"), F.nullif(T.normalized(F.col("subject")), F.lit("")).alias(f"{c}_subject"), T.normalized(F.col("proposition")).alias(f"{c}_text"))
+    found = disputes(relations)
+    rows = found.withColumn("a", F.col("positions")[0]).withColumn("b", F.col("positions")[1]).join(side("a"), "a").join(side("b"), "b")
+    shared, differing = assumptions(F.col("a_assumptions"), F.col("b_assumptions"))
+    topic = F.coalesce(F.array_min(F.array_compact(F.array("a_subject", "b_subject"))), F.least("a_text", "b_text"))
+    settled = F.col("status") == "reconciled_conditionally"
+    return rows.select(*found.columns, topic.alias("topic"), shared.alias("shared_assumptions"), differing.alias("differing_assumptions"), reconciliation(settled, F.col("key_variables")).alias("reconciliation"))
+
+
 def disputes(relations: DataFrame) -> DataFrame:
     """One dispute per conflicting relation: kind, key variables, status."""
     has = lambda *names: F.arrays_overlap("conflict_dimensions", F.array(*[F.lit(n) for n in names]))
@@ -112,6 +166,73 @@ def gaps(claims: DataFrame, relations: DataFrame) -> DataFrame:
     return open_pairs.unionAll(alone).withColumn("gap_id", J.stable_id("synthesis_gap", payload)).dropDuplicates(["gap_id"])
 
 
+@dataclass
+class Synthesis:
+    """The tables of one synthesis, its notes and its content-derived id."""
+
+    id: str
+    corpus_id: str
+    assertions: DataFrame
+    clusters: DataFrame
+    members: DataFrame  # cluster_id, assertion_id
+    disputes: DataFrame
+    gaps: DataFrame
+    notes: list[str]
+
+
+def notes(members: DataFrame, groups: DataFrame | None) -> list[str]:
+    """Coverage notes; ``members`` has the claim_id of every source claim."""
+    if groups is None:
+        return [*NOTES, NOTE_NO_GROUPS]
+    unmapped = members.select("claim_id").join(groups.select("claim_id"), "claim_id", "left_anti").limit(1).count()
+    return [*NOTES, NOTE_UNMAPPED] if unmapped else list(NOTES)
+
+
+def _digest(ids: DataFrame, column: str) -> str:
+    """A hash of a table's ids that doesn't depend on their order, without gathering them: the count,
+    and sums of the halves of each id's SHA-256 modulo 2**61."""
+    half = lambda k: F.conv(F.substring(F.sha2(column, 256), k, 15), 16, 10).cast("decimal(20,0)")
+    r = ids.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(half(k)), F.lit(0)).cast("decimal(38,0)").alias(f"s{k}") for k in (1, 16, 31, 46)]).first()
+    return ":".join(str(int(x)) for x in r)
+
+
+def synthesize(corpus_id: str, claims: DataFrame, source_claims: DataFrame, relations: DataFrame, cut: Callable[[DataFrame, str], DataFrame], groups: DataFrame | None = None) -> Synthesis:
+    """Assertions, topics, disputes and gaps of a claim graph whose references have
+    been checked, as one artifact.
+
+    The tables are written by ``cut``.  The id depends on the corpus, the ids of
+    all parts and the notes, whatever their order.  No groups and an empty table
+    of groups give the same statuses and different notes.
+    """
+    from veridock.functions.identity import stable_text_id
+
+    if not corpus_id.strip():
+        raise ValueError("a synthesis needs a corpus id")
+    problems = reference_problems(claims, source_claims, relations).limit(3).collect()
+    if problems:
+        raise ValueError("; ".join(f"{r.id}: {r.problem}" for r in problems))
+    own = cut(assertions(claims, relations, groups), "assertions")
+    topics = cut(clusters(claims, relations, cut), "clusters")
+    conflicts, open_ends = cut(described_disputes(relations, claims), "disputes"), cut(gaps(claims, relations), "gaps")
+    text = notes(claims.select(F.explode("members").alias("claim_id")), groups)
+    identity = {
+        "corpus_id": corpus_id, "topic_clusters": _digest(topics, "cluster_id"), "assertions": _digest(own, "assertion_id"),
+        "disputes": _digest(conflicts, "dispute_id"), "gaps": _digest(open_ends, "gap_id"), "coverage_notes": text,
+    }
+    return Synthesis(stable_text_id("synthesis", identity), corpus_id, own, topics, clustered(topics, own), conflicts, open_ends, text)
+
+
+def reference_problems(claims: DataFrame, source_claims: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, problem): members without a source claim or span, relation ends and
+    supports that don't exist."""
+    known = source_claims.select("claim_id", ((F.col("end_offset") > F.col("start_offset")) & (F.col("start_offset") >= 0)).alias("placed"))
+    members = claims.select(F.col("canonical_id").alias("id"), F.explode("members").alias("claim_id")).join(known, "claim_id", "left")
+    bad = members.where(~F.coalesce("placed", F.lit(False))).select("id", F.when(F.col("placed").isNull(), F.concat(F.lit("no source claim "), F.col("claim_id"))).otherwise(F.concat(F.lit("no place of "), F.col("claim_id"))).alias("problem"))
+    ends = relations.select(F.col("relation_id").alias("id"), F.explode(F.array("l", "r")).alias("canonical_id")).join(claims.select("canonical_id"), "canonical_id", "left_anti").select("id", F.concat(F.lit("no claim "), F.col("canonical_id")).alias("problem"))
+    support = relations.select(F.col("relation_id").alias("id"), F.explode("supporting").alias("claim_id")).join(known.select("claim_id"), "claim_id", "left_anti").select("id", F.concat(F.lit("no source claim "), F.col("claim_id")).alias("problem"))
+    return bad.unionAll(ends).unionAll(support)
+
+
 def independent_groups(claims: DataFrame) -> DataFrame:
     """(claim_id, grp) from source claims, the source being the group."""
     return claims.select("claim_id", F.col("source_id").cast("string").alias("grp")).distinct()
