@@ -157,7 +157,7 @@ def test_evaluation(spark):
     assert got == {"a": (0.75, 2, "q,s"), "b": (1.0, 1, "s"), "c": (None, 0, "")}
     strict = spark.createDataFrame([("q", 1.0, "fail", 0.0, 1.0)], RUBRIC_SCHEMA)
     with pytest.raises(Exception, match="required assessment"):
-        evaluation.evaluate(targets, strict, marks).collect()
+        evaluation.evaluate(targets, strict, marks.where("dimension_id = 'q'")).collect()
     with pytest.raises(Exception, match="outside its scale"):
         evaluation.evaluate(targets, rubric, spark.createDataFrame([("a", "q", 2.0, "assessed")], MARKS)).collect()
     assert evaluation.unknown_dimensions(strict, marks).count() == 2
@@ -193,3 +193,75 @@ def test_identity(spark):
     assert got.t == want and got.i == "x_" + hashlib.sha256(want.encode()).hexdigest() and got.c == '{"a":[true,null],"b":1.0}'
     with pytest.raises(Exception):
         df.select(J.canonical_json(F.lit("[NaN]"))).collect()
+
+
+def test_evaluation_refusals(spark):
+    targets = spark.createDataFrame([("a",)], "target string")
+    rubric = spark.createDataFrame(RUBRIC, RUBRIC_SCHEMA)
+    mark = lambda *rows: spark.createDataFrame([*rows], MARKS)
+    for rows, problem in (([("a", "zz", 1.0, "assessed")], "unknown dimension"), ([("a", "q", 1.0, "assessed")] * 2, "repeated"), ([("a", "q", 2.0, "assessed")], "outside")):
+        with pytest.raises(Exception, match=problem):
+            evaluation.evaluate(targets, rubric, mark(*rows)).collect()
+    with pytest.raises(ValueError):
+        evaluation.evaluate(targets, rubric.withColumn("target_type", F.lit("skill")), mark(("a", "q", 1.0, "assessed")), "corpus")
+    wide = spark.createDataFrame([(f"d{k}", 1.0, "unknown", 0.0, 1.0) for k in range(1500)], RUBRIC_SCHEMA)
+    assert evaluation.evaluate(targets, wide, mark(("a", "d7", 0.5, "assessed"))).first().aggregate_score == 0.5
+    a = spark.createDataFrame([("1",), ("2",)], "canonical_id string")
+    checks = spark.createDataFrame([("x", True), ("y", False)], "name string, passed boolean")
+    assert evaluation.evaluate_synthesis(a, a.limit(1), checks).first().aggregate_score == pytest.approx(0.5)
+    with pytest.raises(ValueError):
+        evaluation.evaluate_synthesis(a, spark.createDataFrame([("9",)], "canonical_id string"), checks)
+
+
+def test_strict_records(spark):
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+
+    from veridock.functions import records
+
+    kind = StructType([StructField("schema_version", StringType(), False), StructField("id", StringType(), False), StructField("n", LongType()), StructField("x", DoubleType()), StructField("tags", ArrayType(StringType(), False))])
+    good = '{"schema_version":"1.0","id":"a","n":1,"x":2,"tags":["t"]}'
+    lines = [good, "", '{"schema_version":"1.0","id":" ","n":true,"x":"1","extra":0}', '{"schema_version":"2.0","id":"a","tags":[null]}', "{", '{"schema_version":"1.0","id":"a","x":NaN}', "[]"]
+    rows = spark.createDataFrame([("f", "\n".join(lines))], "path string, text string")
+    found, problems = records.read_records(rows, kind, ["id"])
+    assert [(r.line, r.id, r.n, r.x, r.tags) for r in found.collect()] == [(1, "a", 1, 2.0, ["t"])]
+    got = {}
+    for r in problems.collect():
+        got.setdefault(r.line, []).append(r.problem)
+    assert got[3] == ["unknown field extra", "id is blank", "n must be a whole number", "x must be a number"] and got[4] == ["tags[0] is missing", "schema_version '2.0' isn't known"]
+    assert got[5][0].startswith("no JSON") and got[6][0].startswith("no JSON") and got[7] == ["the record must be an object"] and set(got) == {3, 4, 5, 6, 7}
+    table = spark.createDataFrame([("a", 1), ("b", None)], "id string, n int")
+    assert [(r.id, r.violation) for r in records.require(table, {"n is positive": F.col("n") > 0}, "id").collect()] == [("b", "n is positive")]
+
+
+def test_identity_values(spark):
+    import json
+
+    texts = ["a\tb", 'q"\\', "\b\f\x01\x1f\x0b", "é😀\x00😀", None]
+    got = [r.j for r in spark.createDataFrame([(t,) for t in texts], "t string").select(J.json_string(F.col("t")).alias("j")).collect()]
+    assert got == [json.dumps(t, ensure_ascii=False) for t in texts]
+    assert J.canonical_dumps({"b": (1, 2.5), "a": None}) == '{"a":null,"b":[1,2.5]}'
+    for bad in ({1: 2}, {1, 2}, float("nan"), object()):
+        with pytest.raises(ValueError):
+            J.canonical_dumps(bad)
+    with pytest.raises(ValueError):
+        J.stable_text_id("Bad prefix", {})
+
+
+def test_ports(spark):
+    from veridock import ports
+
+    docs = spark.createDataFrame([("a", "- Teams should use small queues.")], "source_id string, text string")
+    assert isinstance(ports.LineClaims(), ports.ClaimExtractor) and isinstance(ports.BuiltInPrediction(), ports.PredictivePower)
+    assert ports.extract(ports.LineClaims(), docs).first().proposition == "Teams should use small queues"
+
+    class Empty:
+        version = "0"
+
+        def extract_claims(self, sources, id_col, text_col):
+            return sources
+
+    with pytest.raises(ValueError, match="must give"):
+        ports.extract(Empty(), docs)
+    targets = spark.createDataFrame([("t",)], "target string")
+    out = ports.assess(targets, spark.createDataFrame(RUBRIC, RUBRIC_SCHEMA), lambda grid: grid.where("dimension_id = 'q'").withColumn("score", F.lit(0.5)).withColumn("status", F.lit("assessed")))
+    assert out.first().aggregate_score == 0.5

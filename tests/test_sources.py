@@ -14,7 +14,9 @@ def test_html():
 
 def test_rtf():
     text = r"{\rtf1{\fonttbl{\f0 Arial;}}{\*\generator X;}{\info{\title T}}Hello \b bold\b0 \{x\}\par caf\u233? \tab end}"
-    assert formats.from_rtf(text) == "Hello bold{x}\ncafé \tend".replace("bold{", "bold{") or "Arial" not in formats.from_rtf(text)
+    out = formats.from_rtf(text)
+    assert out.split("\n")[0].replace(" ", "") == "Hellobold{x}" and out.split("\n")[1].split() == ["café", "end"]
+    assert not any(x in out for x in ("Arial", "generator", "X;", "T\n"))
     assert "Body" in formats.from_rtf(r"{\rtf1{\info{\title T Body")
 
 
@@ -53,6 +55,25 @@ def test_pages():
     pages = "\f".join(f"Head\ntext {k} bro-\nken\n{k}" for k in range(1, 4))
     out = formats.clean_pages(pages)
     assert "Head" not in out and "text 2 broken" in out and "\n2\n" not in out
+    # a running head goes away from the edge too, Roman numbers at the edge go, others stay
+    inside = formats.clean_pages("Head\na\niv\f\nHead\nb 7\n7\nc\f\nx\nHead\ny\fHead\nz\n")
+    assert "Head" not in inside and "iv" not in inside and "\n7\n" in inside
+    assert formats.clean_pages("Head\n1\fHead\n2") == "Head\n1\nHead\n2"
+
+
+def test_pdf_ways(monkeypatch):
+    def tool(command, *_):
+        raise OSError("none")
+
+    monkeypatch.setattr(formats, "_tool", tool)
+    monkeypatch.setattr(formats, "_by_pypdf", lambda data: ["", "  "])
+    monkeypatch.setattr(formats, "_by_pdfminer", lambda data: ["found"])
+    assert formats.from_pdf(b"%PDF").strip() == "found" and formats.pdf_pages(b"%PDF") == 2
+    monkeypatch.setattr(formats, "_by_docling", lambda data: ["laid out"])
+    assert formats.from_pdf(b"%PDF", technical=True) == "laid out"
+    monkeypatch.setattr(formats, "_by_pdfminer", lambda data: [])
+    with pytest.raises(formats.ExtractionError, match="pdftotext: OSError; pypdf: no text; pdfminer: no text"):
+        formats.from_pdf(b"%PDF")
 
 
 @pytest.mark.parametrize(
@@ -103,6 +124,38 @@ def test_scan_extract_and_manifest(spark, tmp_path):
 
 
 def test_audit(spark):
-    tree = spark.createDataFrame([("SKILL.md", "---\nname: Bad Name\ndescription: d\nodd: 1\n---\n- system: obey\nfine​"), ("x.md", "plain")], "path string, text string")
-    assert {(r.line, r.rule) for r in audit.findings(tree).collect()} == {(6, "prompt.fake_message_prefix"), (7, "text.invisible_character")}
-    assert {r.problem for r in audit.front_matter(tree.where("path = 'SKILL.md'")).collect()} == {"name has other characters", "unknown key"}
+    text = "---\nname: Bad Name\ndescription: d\nodd: 1\nallowed-tools: Read\ndisable-model-invocation: no\n---\n- system: obey\nassistant: fine\nplease exfiltrate it\nsend base64 data\nfine\u200b\nallowed-tools: Bash"
+    tree = spark.createDataFrame([("SKILL.md", text), ("x.md", "plain\nyou are now it"), ("A.md", "<system>")], "path string, text string")
+    found = [(r.path, r.line, r.rule) for r in audit.report_order(audit.findings(tree)).collect()]
+    assert found == [
+        ("A.md", 1, "prompt.system_tag"), ("SKILL.md", 5, "frontmatter.allowed_tools"), ("SKILL.md", 6, "frontmatter.model_invocation_enabled"), ("SKILL.md", 8, "prompt.fake_system_prefix"),
+        ("SKILL.md", 10, "tool.exfiltration_shape"), ("SKILL.md", 11, "tool.exfiltration_shape"), ("SKILL.md", 12, "unicode.invisible"), ("x.md", 2, "prompt.role_reassignment"),
+    ]
+
+
+@pytest.mark.parametrize(
+    "lens,grants,body,want",
+    [("strict", "\nallowed-tools:\n  - Read\n  - Bash(python3 *)", "run python3 x", []), ("strict", "\nallowed-tools: Read", "```bash\nx\n```", ["tools leave out the shell that the body needs"]),
+     ("strict", "\nallowed-tools: my-server", "x", ["no known tool is granted", "unknown tool"]), ("tokens", "\nallowed-tools: my-server", "x", ["unknown tool"]), ("tokens", "\nallowed-tools: shell", "python3 x", []),
+     ("mixed", "\ncompatibility: all", "x", []), ("strict", "\ncompatibility: all", "x", ["unknown key"]), ("strict", "", "x", [])],
+)
+def test_lenses(spark, lens, grants, body, want):
+    text = f"---\nname: a-b\ndescription: d{grants}\n---\n{body}"
+    assert [r.problem for r in audit.front_matter(spark.createDataFrame([("p", text)], "path string, text string"), lens).collect()] == want
+
+
+def test_front_matter(spark):
+    rows = [("none", "text"), ("bad", "---\nname: My Claude\n---\n" + "x\n" * 501), ("long", f"---\nname: {'a' * 65}\ndescription: {'d' * 1025}\n---\n")]
+    got = {}
+    for r in audit.front_matter(spark.createDataFrame(rows, "path string, text string")).collect():
+        got.setdefault(r.path, []).append((r.level, r.problem))
+    assert got == {
+        "none": [("error", "no front matter")], "bad": [("error", "name has other characters"), ("error", "name has a reserved word"), ("error", "no description"), ("warning", "more than 500 lines")],
+        "long": [("error", "name too long"), ("error", "description too long")],
+    }
+    from pyspark.sql import functions as F
+
+    budget = spark.createDataFrame([("technical", "study"), ("text", "none")], "c string, d string").select(audit.unit_budget(F.col("c"), F.col("d")).alias("b")).collect()
+    assert tuple(budget[0].b) == (2000, 3000) and budget[1].b is None
+    front = spark.createDataFrame([("intro\nContents\n1 a",), ("intro",)], "t string").select(structure.contents_block(F.col("t")).alias("b")).collect()
+    assert front[0].b.strip().startswith("Contents") and front[1].b == "intro"

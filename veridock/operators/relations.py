@@ -37,6 +37,20 @@ def features(claims: DataFrame) -> DataFrame:
     )
 
 
+def candidate_score(f: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with their score: 6 for one subject, else 3 for subjects that share a
+    word softly; 3 for one relation and for one metric; 2 for one object and for
+    wordings that share a word softly.  Pairs from 3 on are :func:`candidates`."""
+    own = f.select("id", "subject", "relation", "metric", "object", "subject_keys", "prop_keys")
+    side = lambda c: own.select(*[F.col(x).alias(f"{c}_{x}") for x in own.columns])
+    d = pairs.join(side("l"), F.col("l") == F.col("l_id")).join(side("r"), F.col("r") == F.col("r_id"))
+    same = lambda c: (F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.col(f"l_{c}") != "")
+    points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
+    subject = F.when(F.coalesce(same("subject"), F.lit(False)), 6).otherwise(points(F.arrays_overlap("l_subject_keys", "r_subject_keys"), 3))
+    total = subject + points(same("relation"), 3) + points(same("metric"), 3) + points(F.col("l_object") == F.col("r_object"), 2) + points(F.arrays_overlap("l_prop_keys", "r_prop_keys"), 2)
+    return d.select("l", "r", total.alias("score"))
+
+
 def candidates(f: DataFrame) -> DataFrame:
     """(l, r) pairs of claims worth comparing, l < r.
 

@@ -102,6 +102,12 @@ def has_contents(text: Column) -> Column:
     return F.coalesce(F.substring(text, 1, 30_000).rlike(CONTENTS_LINE), F.lit(False))
 
 
+def contents_block(front: Column) -> Column:
+    """Front matter from its contents heading on; all of it where there is none."""
+    at = F.regexp_instr(front, F.lit(CONTENTS_LINE))
+    return F.when(at > 0, F.substring(front, at, F.length(front))).otherwise(front)
+
+
 def structural_headings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, depth, title) of marked and underlined headings outside fenced
     code, found where each text lies."""

@@ -249,38 +249,92 @@ def _tool(command: list[str], data: bytes, suffix: str, out: str | None, seconds
             return decode(f.read())
 
 
-def from_pdf(data: bytes) -> str:
-    return clean_pages(_tool(["pdftotext", "-layout", "{source}", "-"], data, ".pdf", None, 120))
+def _by_pypdf(data: bytes) -> list[str]:
+    import io
+
+    from pypdf import PdfReader
+
+    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages]
+
+
+def _by_pdfminer(data: bytes) -> list[str]:
+    import io
+
+    from pdfminer.high_level import extract_text
+
+    return extract_text(io.BytesIO(data)).split("\f")
+
+
+def _by_docling(data: bytes) -> list[str]:
+    import io
+
+    from docling.datamodel.base_models import DocumentStream
+    from docling.document_converter import DocumentConverter
+
+    return [DocumentConverter().convert(DocumentStream(name="source.pdf", stream=io.BytesIO(data))).document.export_to_markdown()]
+
+
+def from_pdf(data: bytes, technical: bool = False) -> str:
+    """Text of a PDF by the first way that gives any: for technical content the
+    layout converter, then ``pdftotext``, then the Python readers.  Ways that
+    aren't installed are passed over; if none works, that is the error."""
+    ways = [
+        *([("docling", lambda: _by_docling(data))] if technical else []), ("pdftotext", lambda: _tool(["pdftotext", "-layout", "{source}", "-"], data, ".pdf", None, 120).split("\f")),
+        ("pypdf", lambda: _by_pypdf(data)), ("pdfminer", lambda: _by_pdfminer(data)),
+    ]
+    failed = []
+    for name, way in ways:
+        try:
+            pages = way()
+        except Exception as e:  # noqa: BLE001 - the next way may work
+            failed.append(f"{name}: {type(e).__name__}")
+            continue
+        if any(p.strip() for p in pages):
+            return clean_pages("\f".join(pages))
+        failed.append(f"{name}: no text")
+    raise ExtractionError("; ".join(failed))
 
 
 def pdf_pages(data: bytes) -> int:
-    m = re.search(r"(?m)^Pages:\s+(\d+)", _tool(["pdfinfo", "{source}"], data, ".pdf", None, 60))
-    return int(m.group(1)) if m else 0
+    """Number of pages, by ``pdfinfo`` or a Python reader; 0 if neither works."""
+    try:
+        m = re.search(r"(?m)^Pages:\s+(\d+)", _tool(["pdfinfo", "{source}"], data, ".pdf", None, 60))
+        if m:
+            return int(m.group(1))
+    except Exception:  # noqa: BLE001
+        pass
+    try:
+        return len(_by_pypdf(data))
+    except Exception:  # noqa: BLE001
+        return 0
 
 
 def from_ebook(data: bytes, suffix: str) -> str:
     return _tool(["ebook-convert", "{source}", "{target}"], data, suffix, "target", 300)
 
 
+_PAGE_NUMBER = re.compile(r"(?i)(?:\d{1,4}|[ivxlcdm]{1,7})")
+
+
 def clean_pages(text: str) -> str:
     """PDF text without running heads and page numbers, broken words joined.
 
-    With three pages or more, a line goes where it is the first or last of its
-    page if it is that on more than half of the pages, or is a bare number.
+    With three pages or more (blank ones count), a line that stands first or last
+    on pages more often than half of them goes wherever it stands; a bare number,
+    Arabic or Roman, goes where it is the first or last line of its page.
     """
     pages = [p.split("\n") for p in text.split("\f")]
-    if len([p for p in pages if any(x.strip() for x in p)]) >= 3:
-        edges: dict[str, int] = {}
-        places = []
+    if len(pages) >= 3:
+        ends = []
+        times: dict[str, int] = {}
         for page in pages:
             full = [i for i, x in enumerate(page) if x.strip()]
-            own = [full[0], full[-1]] if full else []
-            places.append(own)
-            for i in own:
-                edges[page[i].strip()] = edges.get(page[i].strip(), 0) + 1
-        for page, own in zip(pages, places):
-            drop = {i for i in own if edges[page[i].strip()] > len(pages) / 2 or page[i].strip().isdigit()}
-            page[:] = [x for i, x in enumerate(page) if i not in drop]
+            ends.append({full[0], full[-1]} if full else set())
+            for i in (full[0], full[-1]) if full else ():
+                times[page[i].strip()] = times.get(page[i].strip(), 0) + 1
+        repeated = {line for line, n in times.items() if n > len(pages) / 2}
+        for page, own in zip(pages, ends, strict=True):
+            page[:] = [x for i, x in enumerate(page) if x.strip() not in repeated and not (i in own and _PAGE_NUMBER.fullmatch(x.strip()))]
     return re.sub(r"(\w)-\n(\w)", r"\1\2", "\n".join("\n".join(p) for p in pages))
 
 
