@@ -7,6 +7,7 @@ import pytest
 
 from veridock.functions import lines as L
 from veridock.operators import claims, provenance
+from veridock.plans import session
 
 
 def brute(texts):
@@ -44,7 +45,8 @@ def test_numbered(seed):
         assert got == [r for r in brute(own) if r[0] >= offset]
 
 
-def test_lines_need_no_shuffle(spark, sf_dir):
+def test_lines_need_no_shuffle(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(session, "SPLIT_BYTES", 0)  # a scan of any size as a large one
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = L.lines(docs, "doc_id", "text")._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Window" not in plan

@@ -2,6 +2,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from veridock.operators import audit, structure
 from veridock.sources import files, formats
@@ -117,6 +118,14 @@ def test_scan_extract_and_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text(manifest)
     entries = files.load_manifest(spark, str(tmp_path / "m.json"))
     got = {r.source_id: r for r in files.ingest(entries, found, str(tmp_path)).collect()}
+    assert files.missing_paths(spark, str(tmp_path / "no"), str(tmp_path)) == [str(tmp_path / "no")] and files.scan(spark, str(tmp_path / "no"), str(tmp_path / "b.md")).count() == 1
+    meta = files.metadata(found, files.extract(found))
+    whole = files.totals(meta).first()
+    assert meta.count() == 2 and (whole.total_sources, whole.filename, whole.format) == (2, "multi-source", "mixed") and whole.estimated_tokens_human == "~0K"
+    assert files.totals(meta.where("filename = 'b.md'")).first().filename == "b.md"
+    (tmp_path / "b.md").write_text("# Title\n\n- Changed.\n")
+    changed = {r.source_id: r.error for r in files.ingest(entries, files.scan(spark, str(tmp_path)).where("false").unionAll(found), str(tmp_path), found.withColumn("content", F.lit(bytearray(b"x")))).collect()}
+    assert changed["b"] == "changed while it was read"
     assert got["b"].title == "Title" and got["b"].media == "text/markdown" and got["b"].record_id and got["z"].error == "missing" and got["z"].record_id is None
     (tmp_path / "m2.json").write_text(manifest.replace("none.md", "../x.md"))
     with pytest.raises(Exception, match="input reference"):
@@ -153,8 +162,6 @@ def test_front_matter(spark):
         "none": [("error", "no front matter")], "bad": [("error", "name has other characters"), ("error", "name has a reserved word"), ("error", "no description"), ("warning", "more than 500 lines")],
         "long": [("error", "name too long"), ("error", "description too long")],
     }
-    from pyspark.sql import functions as F
-
     budget = spark.createDataFrame([("technical", "study"), ("text", "none")], "c string, d string").select(audit.unit_budget(F.col("c"), F.col("d")).alias("b")).collect()
     assert tuple(budget[0].b) == (2000, 3000) and budget[1].b is None
     front = spark.createDataFrame([("intro\nContents\n1 a",), ("intro",)], "t string").select(structure.contents_block(F.col("t")).alias("b")).collect()

@@ -21,17 +21,23 @@ from pyspark.sql.types import StringType
 
 def stable_id(prefix: str, canonical: Column) -> Column:
     """``prefix_`` and the SHA-256 of the canonical JSON."""
-    return F.concat(F.lit(prefix + "_"), F.sha2(canonical, 256))
+    return F.concat(F.lit(prefix + "_"), F.sha2(escape_controls(canonical), 256))
+
+
+def escape_controls(json_text: Column) -> Column:
+    """A JSON text without the control characters that :func:`json_string` leaves; they
+    can only stand inside its strings, so it is done once for a whole text."""
+    one = lambda c: F.when(c < " ", F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c)
+    others = F.array_join(F.transform(F.regexp_extract_all(json_text, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.when(json_text.rlike(r"[\x00-\x1f]"), others).otherwise(json_text)
 
 
 def json_string(value: Column) -> Column:
-    """A JSON string literal, or ``null``."""
+    """A JSON string literal, or ``null``.  Control characters without a short form are
+    left to :func:`escape_controls`, which a finished text goes through."""
     escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
     for raw, short in (("\n", "n"), ("\t", "t"), ("\r", "r"), ("\b", "b"), ("\f", "f")):
         escaped = F.replace(escaped, F.lit(raw), F.lit("\\" + short))
-    one = lambda c: F.when(c < " ", F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c)
-    others = F.array_join(F.transform(F.regexp_extract_all(escaped, F.lit("(?s)."), F.lit(0)), one), "")
-    escaped = F.when(escaped.rlike(r"[\x00-\x1f]"), others).otherwise(escaped)
     return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
 
 

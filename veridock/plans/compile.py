@@ -145,7 +145,7 @@ def chapter_paths(clusters: DataFrame) -> DataFrame:
 
 def _json_list(rows: DataFrame, key: str, item: Column) -> str:
     """A JSON array of every row's object, sorted by key (one document)."""
-    r = rows.agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), item.alias("j")))), lambda x: x["j"])).alias("j")).first()
+    r = rows.agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), J.escape_controls(item).alias("j")))), lambda x: x["j"])).alias("j")).first()
     return f"[{r.j}]"
 
 

@@ -49,7 +49,8 @@ def chapters(clusters: DataFrame, assertions: DataFrame) -> DataFrame:
     texts = rows.groupBy("cluster_id", "topic").agg(F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("body"))
     texts = texts.withColumn("slug", T.slug("topic")).withColumn("text", F.concat(F.lit("# "), safe_text(F.col("topic")), F.lit("\n\n"), F.col("body"), F.lit("\n")))
     numbered = number_rows(texts, ["topic", "cluster_id"])
-    path = F.concat(F.lit("chapters/"), F.lpad(F.col("number").cast("string"), 6, "0"), F.lit("-"), F.col("slug"), F.lit(".md"))
+    digits = F.when(F.col("number") < 100, F.lpad(F.col("number").cast("string"), 2, "0")).otherwise(F.col("number").cast("string"))
+    path = F.concat(F.lit("chapters/"), digits, F.lit("-"), F.col("slug"), F.lit(".md"))
     return numbered.select(path.alias("path"), "text", F.sha2("text", 256).alias("sha256"))
 
 

@@ -32,6 +32,8 @@ def spread(df: DataFrame) -> DataFrame:
     if the whole input is smaller than ``SPLIT_BYTES`` a core; anything larger
     is split by the scan and stays where it is.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if cores > 1 and size < cores * SPLIT_BYTES else df

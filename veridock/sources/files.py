@@ -20,13 +20,32 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
+#: Sources of a corpus: text whose places are exact.
+TEXT_SUFFIXES = [".adoc", ".asciidoc", ".markdown", ".md", ".rst", ".text", ".txt"]
+
+
+def missing_paths(spark: SparkSession, *paths: str) -> list[str]:
+    """Those of ``paths`` (files, folders, globs) that match nothing."""
+    out = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        if found is None or len(found) == 0:
+            out.append(path)
+    return out
+
+
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
     """(ord, path, length, content) of the supported files under ``paths`` (files,
     folders, globs), each file once, at its first place: arguments in order,
-    then by lower-case name."""
+    then by lower-case path.  ``ord`` (argument number, lower-case path) sorts them.
+    Paths that match nothing give no rows; :func:`missing_paths` names them."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    lost = set(missing_paths(spark, *paths))
     parts = None
     for k, path in enumerate(paths):
-        one = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("arg", F.lit(k))
+        one = spark.createDataFrame([], schema) if path in lost else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        one = one.withColumn("arg", F.lit(k))
         parts = one if parts is None else parts.unionAll(one)
     kept = parts.where(suffix(F.col("path")).isin(*formats.SUFFIXES))
     first = F.row_number().over(Window.partitionBy("path").orderBy("arg"))
@@ -75,6 +94,29 @@ def consolidate(texts: DataFrame, order_col: str) -> DataFrame:
     return rows.agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "b"))), lambda x: x["b"]), "")).alias("full_text"), F.sum("tokens").alias("tokens"), F.sum("chars").alias("chars"), F.count("*").alias("sources"))
 
 
+def metadata(files: DataFrame, texts: DataFrame, mode: str = "text") -> DataFrame:
+    """One row per source with its metrics: path, filename, format, mode, file_size_mb,
+    chars, words, estimated_tokens, chapters, has_contents; failed sources have
+    none."""
+    from veridock.operators import structure
+
+    size = files.select("path", F.round(F.col("length") / 1048576, 2).alias("file_size_mb"))
+    found = structure.detect(texts.where("text IS NOT NULL"), "path", "text").select("path", "chapters", "has_contents")
+    rows = texts.where("text IS NOT NULL").join(size, "path").join(found, "path")
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), suffix(F.col("path")).alias("format"), F.lit(mode).alias("mode"), "file_size_mb", F.length("text").alias("chars"), T.word_count(F.col("text")).alias("words"), F.col("tokens").alias("estimated_tokens"), "chapters", "has_contents")
+
+
+def totals(meta: DataFrame) -> DataFrame:
+    """One row: what :func:`metadata` adds up to.  A single source keeps its name and
+    format, several are ``multi-source`` and ``mixed``."""
+    one = F.count("*") == 1
+    agg = meta.agg(
+        F.count("*").alias("total_sources"), F.when(one, F.first("filename")).otherwise("multi-source").alias("filename"), F.when(one, F.first("format")).otherwise("mixed").alias("format"), F.first("mode").alias("mode"),
+        F.round(F.sum("file_size_mb"), 2).alias("file_size_mb"), F.sum("chars").alias("chars"), F.sum("words").alias("words"), F.sum("estimated_tokens").alias("estimated_tokens"),
+    )
+    return agg.withColumn("estimated_tokens_human", F.concat(F.lit("~"), F.floor(F.col("estimated_tokens") / 1000).cast("string"), F.lit("K")))
+
+
 def manifest_violations() -> Column:
     """Reasons why a manifest row can't be used; empty for a good one."""
     e = F.col("source_entries")
@@ -106,18 +148,31 @@ def check_budget(files: DataFrame, sources: int = 1000, each_bytes: int = 50 <<
         raise ValueError(f"over budget: {r.n} sources, largest {r.m}, total {r.t} bytes")
 
 
-def ingest(entries: DataFrame, files: DataFrame, root: str) -> DataFrame:
-    """Sources of a manifest with text, checksum, title and id; one that is missing
-    or unreadable stays as a limitation (null text with an error)."""
+def ingest(entries: DataFrame, files: DataFrame, root: str, again: DataFrame | None = None) -> DataFrame:
+    """Sources of a manifest with text, checksums, title and id; one that is missing,
+    unreadable or no plain text stays as a limitation (null text with an error).
+
+    ``again`` are the same files read once more: a source whose content differs
+    there changed while it was read, and is an error.
+    """
     ref = F.regexp_replace(F.regexp_replace(F.col("path"), r"^file:/+", "/"), "^" + root.rstrip("/") + "/", "")
     read = extract(files).withColumn("ref", ref)
     sums = files.select("path", F.sha2("content", 256).alias("checksum"))
     joined = entries.join(read.join(sums, "path"), F.col("input_ref") == F.col("ref"), "left")
+    if again is None:
+        joined = joined.withColumn("later", F.col("checksum"))
+    else:
+        joined = joined.join(again.select("path", F.sha2("content", 256).alias("later")), "path", "left")
+    problem = (
+        F.when(~suffix(F.col("input_ref")).isin(TEXT_SUFFIXES), "no plain text").when(F.col("path").isNull(), "missing")
+        .when(~F.col("checksum").eqNullSafe(F.col("later")), "changed while it was read").otherwise(F.col("error"))
+    )
+    joined = joined.withColumn("error", problem).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
     heading = F.nullif(F.regexp_extract("text", r"(?m)^\s*#+\s+(\S.*?)\s*$", 1), F.lit(""))
     title = F.coalesce("metadata_overrides.title", heading, F.regexp_extract("input_ref", r"([^/]+?)(?:\.[^./]*)?$", 1))
     media = F.coalesce("media_type", F.when(suffix(F.col("input_ref")).isin(".md", ".markdown"), "text/markdown").otherwise("text/plain"))
     payload = J.json_object(corpus_id=J.json_string(F.col("corpus_id")), source_id=J.json_string(F.col("source_id")), content_checksum=J.json_string(F.col("checksum")), parser_version=F.lit('"1"'))
-    return joined.select("source_id", F.when(F.col("text").isNotNull(), J.stable_id("source", payload)).alias("record_id"), title.alias("title"), media.alias("media"), "checksum", "text", F.coalesce("error", F.when(F.col("path").isNull(), F.lit("missing"))).alias("error"))
+    return joined.select("source_id", F.when(F.col("text").isNotNull(), J.stable_id("source", payload)).alias("record_id"), title.alias("title"), media.alias("media"), "checksum", F.sha2("text", 256).alias("text_checksum"), F.col("removed").alias("removed_invisible"), "text", "error")
 
 
 def fingerprint(data: bytes) -> str:
