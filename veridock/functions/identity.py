@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -24,6 +24,11 @@ def stable_id(prefix: str, canonical: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.sha2(escape_controls(canonical), 256))
 
 
+def with_stable_id(df: DataFrame, name: str, prefix: str, canonical: Column) -> DataFrame:
+    """Adds :func:`stable_id` as a column; the JSON is made once, in a column of its own."""
+    return df.withColumn("__json", canonical).withColumn(name, stable_id(prefix, F.col("__json"))).drop("__json")
+
+
 def escape_controls(json_text: Column) -> Column:
     """A JSON text without the control characters that :func:`json_string` leaves; they
     can only stand inside its strings, so it is done once for a whole text."""

@@ -68,12 +68,14 @@ def keyed(claims: DataFrame, exact: bool = False) -> DataFrame:
     base = {"claim_type": J.json_string(F.col("claim_type")), "semantics": F.col("semantics_json")}
     alone = base | {"normalized_proposition": _norm_json("__folded"), "incomplete_source_claim_id": J.json_string(F.col("claim_id"))}
     rows = rows.withColumn("semantics_json", semantics_json())
-    rows = rows.withColumn("canonical_id", J.stable_id("canonical_claim", F.when(structured, J.json_object(**base)).otherwise(J.json_object(**alone))))
+    rows = J.with_stable_id(rows, "canonical_id", "canonical_claim", F.when(structured, J.json_object(**base)).otherwise(J.json_object(**alone)))
     rows = rows.withColumn("structured", structured).withColumn("norm", T.normalized(F.col("__folded"))).drop("__folded")
     content = F.xxhash64("canonical_id", "proposition")
-    checked = rows.withColumn("__content", content).groupBy("claim_id").agg(F.min("__content").alias("lo"), F.max("__content").alias("hi"), F.first(F.struct(*rows.columns)).alias("r"))
-    one = F.when(F.col("lo") == F.col("hi"), F.col("r")).otherwise(F.raise_error(F.concat(F.lit("different content under claim id "), F.col("claim_id"))))
-    return checked.select(one.alias("r")).select("r.*")
+    # one aggregate a column, so that columns nobody asks for aren't computed
+    others = [c for c in rows.columns if c != "claim_id"]
+    merged = rows.withColumn("__content", content).groupBy("claim_id").agg(F.min("__content").alias("__lo"), F.max("__content").alias("__hi"), *[F.first(c).alias(c) for c in others])
+    one = F.when(F.col("__lo") == F.col("__hi"), F.col("canonical_id")).otherwise(F.raise_error(F.concat(F.lit("different content under claim id "), F.col("claim_id"))))
+    return merged.withColumn("canonical_id", one).select(*rows.columns)
 
 
 _KEPT = ["claim_type", "semantics_json", "subject", "relation", "object", "polarity", "quantifier", "modality", "definition", "conditions", "objective", *SCOPE]

@@ -113,7 +113,7 @@ def source_claims(docs: DataFrame, id_col: str, text_col: str, prose: bool = Tru
     rows = semantics(rows)
     payload = J.json_object(source_id=J.json_string(F.col("id").cast("string")), start_offset=J.json_number(F.col("start_offset")), end_offset=J.json_number(F.col("end_offset")), proposition=J.json_string(F.lower("proposition")))
     findings = T.safety_rules(F.col("assertion"))
-    rows = rows.withColumn("claim_id", J.stable_id("source-claim", payload)).withColumn("safety_findings", findings)
+    rows = J.with_stable_id(rows, "claim_id", "source-claim", payload).withColumn("safety_findings", findings)
     short = F.length("assertion") <= 280
     hit = F.size("safety_findings") > 0
     return (

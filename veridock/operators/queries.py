@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veridock.functions import text as T
 from veridock.operators import canonical, claims, corpus, evaluation, ladder_queries, prediction, provenance, relations, store, structure, synthesis
 from veridock.plans.scratch import materialise
+from veridock.plans.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of all documents, over all cores if the table is small."""
+    return spread(_table(spark, sf_dir, "documents").select(*columns))
+
+
 # -- SQL building blocks ------------------------------------------------------
 
 _NORM = lambda c: f"trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
@@ -103,7 +109,7 @@ iffed AS (
 
 @_query(rf"SELECT doc_id, CAST({_WORDS('text')} AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS chars, CAST(floor({_WORDS('text')} / 0.75) AS BIGINT) AS tokens FROM documents")
 def doc_token_estimate(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = _texts(spark, sf_dir, "doc_id", "text")
     t = F.col("text")
     return d.select("doc_id", T.word_count(t).cast("long").alias("words"), F.length(t).cast("long").alias("chars"), T.estimate_tokens(t).alias("tokens"))
 
@@ -111,13 +117,13 @@ def doc_token_estimate(spark, sf_dir):
 @_query(rf"SELECT lang, count(*) AS docs, CAST(sum({_WORDS('text')}) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(floor({_WORDS('text')} / 0.75)) AS BIGINT) AS tokens, round(sum(octet_length(encode(text))) / 1048576.0, 4) AS mb FROM documents GROUP BY lang")
 def corpus_totals_by_lang(spark, sf_dir):
     t = F.col("text")
-    d = _table(spark, sf_dir, "documents").groupBy("lang")
+    d = _texts(spark, sf_dir, "lang", "text").groupBy("lang")
     return d.agg(F.count("*").alias("docs"), F.sum(T.word_count(t)).alias("words"), F.sum(F.length(t)).alias("chars"), F.sum(T.estimate_tokens(t)).alias("tokens"), F.round(F.sum(F.octet_length(t)) / 1048576.0, 4).alias("mb"))
 
 
 @_query("SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{3164}\\x{FEFF}\\x{FFA0}\\x{E0000}-\\x{E007F}]', '', 'g')) AS BIGINT) AS removed FROM documents")
 def sanitize_counts(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.removed_invisible(F.col("text")).cast("long").alias("removed"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.removed_invisible(F.col("text")).cast("long").alias("removed"))
 
 
 def _safety_sql(table: str, ids: str) -> str:
@@ -137,7 +143,7 @@ SELECT {ids}, rule FROM (
 
 @_query(_safety_sql("documents", "doc_id"))
 def safety_scan_documents(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.safety_rules(F.col("text"))).alias("rule"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(T.safety_rules(F.col("text"))).alias("rule"))
 
 
 @_query(_safety_sql("conversations", "conv_id, turn"))
@@ -153,7 +159,7 @@ _SEED_SQL = "CASE (CASE WHEN doc_id IS NULL THEN 0 ELSE doc_id % 11 END) " + " "
 def safety_rules_seeded(spark, sf_dir):
     """Every document behind one of eleven openings, so that every rule is met."""
     seed = F.array(*[F.lit(t) for t in _SEEDS])[F.coalesce(F.pmod("doc_id", F.lit(11)), F.lit(0)).cast("int")]
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.safety_rules(F.concat(seed, "text"))).alias("rule"))
+    rows = _texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(T.safety_rules(F.concat(seed, "text"))).alias("rule"))
     return rows.groupBy("rule").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 

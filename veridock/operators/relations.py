@@ -180,8 +180,8 @@ def classify(f: DataFrame, pairs: DataFrame) -> DataFrame:
         shared_conditions=shown("shared_conditions"), left_only_conditions=shown("left_only_conditions"), right_only_conditions=shown("right_only_conditions"),
     )
     payload = J.json_object(left_claim_id=J.json_string(c("l")), right_claim_id=J.json_string(c("r")), relation_type=J.json_string(c("relation_type")), directionality=J.json_string(c("directionality")), scope_analysis=scope, conflict_dimensions=strings("conflict_dimensions"))
-    return d.select(
-        J.stable_id("claim_relation", payload).alias("relation_id"), "l", "r", "relation_type", "directionality", "rung", "conflict_dimensions", "condition_overlap", "population_overlap", "temporal_overlap",
+    return J.with_stable_id(d, "relation_id", "claim_relation", payload).select(
+        "relation_id", "l", "r", "relation_type", "directionality", "rung", "conflict_dimensions", "condition_overlap", "population_overlap", "temporal_overlap",
         F.col("definition_alignment"), "objective_alignment", F.array_sort(F.array_union(L("members"), R("members"))).alias("supporting"),
     )
 
