@@ -26,6 +26,8 @@ def features(claims: DataFrame) -> DataFrame:
     direction = n("outcome_direction")
     conditions = F.array_sort(F.array_distinct(F.transform("conditions", lambda c: F.concat_ws("\u0001", T.normalized(c["operator"]), T.normalized(c["value"])))))
     assumptions = F.array_sort(F.array_distinct(F.transform(F.coalesce("assumptions", F.array().cast("array<string>")), T.normalized)))
+    neg = F.array(*[F.lit(w) for w in NEGATIONS])
+    words = T.content_tokens(n("proposition"))
     return claims.select(
         F.col("canonical_id").alias("id"), F.col("claim_type").alias("type"), "members", "semantics_json", "polarity", n("proposition").alias("prop"),
         *[n(c).alias(c) for c in ("subject", "relation", "object", "quantifier", "modality", "definition", "objective", "population", "geography", "temporal_scope", "time_horizon")],
@@ -33,7 +35,7 @@ def features(claims: DataFrame) -> DataFrame:
         F.when(direction.isin(UP), "positive").when(direction.isin(DOWN), "negative").otherwise(direction).alias("direction"),
         conditions.alias("conditions"), assumptions.alias("assumptions"),
         T.soft_keys(n("subject")).alias("subject_keys"), T.soft_keys(n("population")).alias("population_keys"), T.soft_keys(n("temporal_scope")).alias("temporal_keys"),
-        T.content_tokens(n("proposition")).alias("words"), T.soft_keys(n("proposition")).alias("prop_keys"),
+        F.arrays_overlap(words, neg).alias("denies"), F.array_except(words, neg).alias("others"), T.soft_keys(n("proposition")).alias("prop_keys"),
     )
 
 
@@ -94,9 +96,62 @@ def classify(f: DataFrame, pairs: DataFrame) -> DataFrame:
     """One relation per pair: type, direction, scope, conflict dimensions, support
     and a content-derived id.  The first rung that holds decides; where scope is
     missing on one side the answer is ``insufficient_information``."""
-    left = f.select(*[F.col(c).alias(f"l_{c}") for c in f.columns])
-    right = f.select(*[F.col(c).alias(f"r_{c}") for c in f.columns])
-    d = pairs.join(left, F.col("l") == F.col("l_id")).join(right, F.col("r") == F.col("r_id"))
+    d = judged(pairs.join(_side(f, "l"), F.col("l") == F.col("l_id")).join(_side(f, "r"), F.col("r") == F.col("r_id")))
+    c = F.col
+    strings = lambda a: J.json_array(F.transform(a, J.json_string))
+    shown = lambda a: J.json_array(F.transform(a, lambda x: J.json_object(field=F.lit('"context"'), operator=J.json_string(F.split(x, "\u0001")[0]), value=J.json_string(F.split(x, "\u0001")[1]))))
+    scope = J.json_object(
+        term_definition_alignment=J.json_string(c("definition_alignment")), population_overlap=J.json_string(c("population_overlap")), temporal_overlap=J.json_string(c("temporal_overlap")),
+        condition_overlap=J.json_string(c("condition_overlap")), objective_alignment=J.json_string(c("objective_alignment")),
+        shared_conditions=shown("shared_conditions"), left_only_conditions=shown("left_only_conditions"), right_only_conditions=shown("right_only_conditions"),
+    )
+    payload = J.json_object(left_claim_id=J.json_string(c("l")), right_claim_id=J.json_string(c("r")), relation_type=J.json_string(c("relation_type")), directionality=J.json_string(c("directionality")), scope_analysis=scope, conflict_dimensions=strings("conflict_dimensions"))
+    return J.with_stable_id(d, "relation_id", "claim_relation", payload).select(
+        "relation_id", "l", "r", "relation_type", "directionality", "rung", "conflict_dimensions", "condition_overlap", "population_overlap", "temporal_overlap",
+        F.col("definition_alignment"), "objective_alignment", F.array_sort(F.array_union("l_members", "r_members")).alias("supporting"),
+    )
+
+
+def _side(f: DataFrame, name: str) -> DataFrame:
+    return f.select(*[F.col(c).alias(f"{name}_{c}") for c in f.columns])
+
+
+def kinds(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims, kinds): ``f`` with the ``kind`` of each claim, and one row per kind with
+    a number ``no``, its ``size`` and the features.  Claims of a kind have all
+    features in common, so that any two claims relate as their kinds do."""
+    own = [c for c in f.columns if c not in ("id", "members")]
+    named = f.withColumn("kind", F.sha2(F.to_json(F.struct(*own)), 256))
+    rows = named.groupBy("kind").agg(F.count("*").alias("size"), F.first(F.struct(*own)).alias("s"))
+    return named, rows.select(F.monotonically_increasing_id().alias("no"), "kind", "size", "s.*")
+
+
+def between_kinds(k: DataFrame, *more: str) -> DataFrame:
+    """Relations between kinds (a written table): l and r are their numbers, l <= r,
+    ``n`` is how many pairs of claims relate so, ``more`` names features of both
+    sides to keep (as ``l_`` and ``r_``).  Those pairs are the same as
+    :func:`candidates` followed by :func:`classify`, but for the direction.
+
+    Every block of kinds meets every other; pairs are judged as they come and
+    never stored, so only a block is in memory.
+    """
+    blocks = max(4, min(96, -(-k.count() // 1024)))
+    rows = k.repartition(blocks)
+    same = lambda c: F.coalesce((F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.col(f"l_{c}") != ""), F.lit(False))
+    share = lambda c: F.coalesce(F.arrays_overlap(f"l_{c}", f"r_{c}"), F.lit(False))
+    worth = same("subject") | same("relation") | same("metric") | share("subject_keys") | (F.coalesce(F.col("l_object") == F.col("r_object"), F.lit(False)) & share("prop_keys"))
+    apart = (F.col("l_no") < F.col("r_no")) | ((F.col("l_no") == F.col("r_no")) & (F.col("l_size") > 1))
+    pairs = _side(rows, "l").hint("shuffle_replicate_nl").join(_side(rows, "r"), apart & worth)
+    n = F.when(F.col("l_no") == F.col("r_no"), F.expr("l_size * (l_size - 1) div 2")).otherwise(F.col("l_size") * F.col("r_size"))
+    return judged(pairs).select(
+        F.col("l_no").alias("l"), F.col("r_no").alias("r"), n.alias("n"), "relation_type", "rung", "conflict_dimensions", "condition_overlap", "population_overlap", "temporal_overlap",
+        "definition_alignment", "objective_alignment", *[f"{side}_{c}" for side in "lr" for c in more],
+    )
+
+
+def judged(d: DataFrame) -> DataFrame:
+    """Adds scope, rung, relation type, direction and conflict dimensions to pairs of
+    claims with their features (``l_`` and ``r_``)."""
     L, R = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
     same = lambda c: L(c).isNotNull() & (L(c) != "") & L(c).eqNullSafe(R(c))
     within = lambda c, values: F.coalesce(c.isin(values), F.lit(False))
@@ -113,10 +168,9 @@ def classify(f: DataFrame, pairs: DataFrame) -> DataFrame:
         .otherwise(False)
     )
     outcomes = _all_of(L("metric") == R("metric"), L("direction") != R("direction"), L("direction").isin("positive", "negative"), R("direction").isin("positive", "negative"))
-    neg = F.array(*[F.lit(w) for w in NEGATIONS])
-    lw, rw = F.array_except(L("words"), neg), F.array_except(R("words"), neg)
-    union = F.size(F.array_union(lw, rw))
-    surface = (F.arrays_overlap(L("words"), neg) != F.arrays_overlap(R("words"), neg)) & (union > 0) & (F.size(F.array_intersect(lw, rw)) / F.greatest(union, F.lit(1)) >= 0.6)
+    both = F.size(F.array_intersect(L("others"), R("others")))
+    union = F.size(L("others")) + F.size(R("others")) - both  # their words are distinct
+    surface = (L("denies") != R("denies")) & (union > 0) & (both / F.greatest(union, F.lit(1)) >= 0.6)
     decision = L("type").isin(DECISIONS) | R("type").isin(DECISIONS)
     d = d.withColumns({"core": core, "obj": obj, "opposite": opposite, "counter": counter, "outcomes": outcomes, "surface": surface})
     c = F.col
@@ -171,19 +225,7 @@ def classify(f: DataFrame, pairs: DataFrame) -> DataFrame:
     ))
     d = d.withColumn("rung", rung).withColumn("conflict_dimensions", dimensions)
     d = d.withColumn("relation_type", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("rung")))
-    d = d.withColumn("directionality", F.when(c("rung") == 9, F.when(l_more, "left_to_right").otherwise("right_to_left")).otherwise("symmetric"))
-    strings = lambda a: J.json_array(F.transform(a, J.json_string))
-    shown = lambda a: J.json_array(F.transform(a, lambda x: J.json_object(field=F.lit('"context"'), operator=J.json_string(F.split(x, "\u0001")[0]), value=J.json_string(F.split(x, "\u0001")[1]))))
-    scope = J.json_object(
-        term_definition_alignment=J.json_string(c("definition_alignment")), population_overlap=J.json_string(c("population_overlap")), temporal_overlap=J.json_string(c("temporal_overlap")),
-        condition_overlap=J.json_string(c("condition_overlap")), objective_alignment=J.json_string(c("objective_alignment")),
-        shared_conditions=shown("shared_conditions"), left_only_conditions=shown("left_only_conditions"), right_only_conditions=shown("right_only_conditions"),
-    )
-    payload = J.json_object(left_claim_id=J.json_string(c("l")), right_claim_id=J.json_string(c("r")), relation_type=J.json_string(c("relation_type")), directionality=J.json_string(c("directionality")), scope_analysis=scope, conflict_dimensions=strings("conflict_dimensions"))
-    return J.with_stable_id(d, "relation_id", "claim_relation", payload).select(
-        "relation_id", "l", "r", "relation_type", "directionality", "rung", "conflict_dimensions", "condition_overlap", "population_overlap", "temporal_overlap",
-        F.col("definition_alignment"), "objective_alignment", F.array_sort(F.array_union(L("members"), R("members"))).alias("supporting"),
-    )
+    return d.withColumn("directionality", F.when(c("rung") == 9, F.when(l_more, "left_to_right").otherwise("right_to_left")).otherwise("symmetric"))
 
 
 def override(relations: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridock.functions import identity as J
@@ -50,6 +50,48 @@ def condition_summary() -> F.Column:
     return F.nullif(F.array_join(F.concat(F.array_sort(parts), F.array_compact(F.array(*extra))), "; "), F.lit(""))
 
 
+def status(minority: Column, shared: Column) -> Column:
+    """Status of a claim from its flags (opposed, conditional, open, clean), whether a
+    position with more groups opposes it and whether two groups support it."""
+    false = F.lit(False)
+    return (
+        F.when(F.coalesce("opposed", false), F.when(minority, "minority_view").otherwise("contested"))
+        .when(F.coalesce("conditional", false), "conditional")
+        .when(F.coalesce("open", false), "unresolved")
+        .when(F.coalesce("clean", F.lit(True)) & shared, "consensus")
+        .otherwise("unresolved")
+    )
+
+
+def kind_statuses(claims: DataFrame, relations: DataFrame, groups: DataFrame) -> DataFrame:
+    """(canonical_id, status) as :func:`assertions` has it, from relations between kinds.
+
+    ``claims`` are (canonical_id, no of its kind, members), ``groups`` as
+    there.  A pair adds to counts and extremes alone, so that no list grows
+    with the claims: two groups are different iff their smallest and largest
+    numbers are.
+    """
+    numbered = groups.select("grp").where("grp IS NOT NULL").distinct().select("grp", F.row_number().over(Window.orderBy("grp")).alias("g"))
+    members = claims.select("canonical_id", "no", F.explode("members").alias("claim_id"))
+    mapped = members.join(groups.select("claim_id", "grp"), "claim_id", "left").join(numbered, "grp", "left")
+    counted = mapped.groupBy("canonical_id", "no").agg((F.count("g") == F.count("*")).alias("mapped"), F.countDistinct("g").alias("groups"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    per_kind = counted.groupBy("no").agg(F.bool_and("mapped").alias("mapped"), F.max(F.when(F.col("mapped"), F.col("groups"))).alias("groups"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    t = F.col("relation_type")
+    end = lambda own, other: F.struct(F.col(own).alias("id"), F.col(other).alias("other"))
+    ends = relations.select("relation_type", F.explode(F.array(end("l", "r"), end("r", "l"))).alias("e")).select("e.id", "e.other", "relation_type")
+    near = ends.join(F.broadcast(per_kind.withColumnRenamed("no", "other")), "other")
+    oppose, support = t.isin(OPPOSE), t.isin(SUPPORT)
+    flags = near.groupBy("id").agg(
+        F.bool_or(oppose).alias("opposed"), F.bool_or(t.isin(CONDITIONAL)).alias("conditional"), F.bool_or(t == "insufficient_information").alias("open"), F.bool_and(t.isin([*SUPPORT, "orthogonal"])).alias("clean"),
+        F.bool_and(F.col("mapped") | ~oppose).alias("known"), F.max(F.when(oppose, F.col("groups"))).alias("largest"),
+        F.bool_and(F.col("mapped") | ~support).alias("support_known"), F.min(F.when(support, F.col("lo"))).alias("support_lo"), F.max(F.when(support, F.col("hi"))).alias("support_hi"),
+    )
+    joined = counted.join(flags.withColumnRenamed("id", "no"), "no", "left")
+    minority = F.col("known") & (F.col("groups") < F.col("largest")) & F.col("mapped")
+    shared = F.col("mapped") & F.coalesce("support_known", F.lit(True)) & (F.least("lo", "support_lo") < F.greatest("hi", "support_hi"))
+    return joined.select("canonical_id", status(minority, shared).alias("status"))
+
+
 def assertions(claims: DataFrame, relations: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One assertion per canonical claim: status, supporting and opposing members.
 
@@ -78,15 +120,8 @@ def assertions(claims: DataFrame, relations: DataFrame, groups: DataFrame | None
     joined = claims.join(counted, "canonical_id").join(flags.withColumnRenamed("id", "canonical_id"), "canonical_id", "left")
     none = F.array().cast("array<string>")
     all_groups = F.when(F.col("groups").isNotNull() & F.coalesce("support_known", F.lit(True)), F.array_union("groups", F.coalesce("support_groups", none)))
-    false = F.lit(False)
-    status = (
-        F.when(F.coalesce("opposed", false), F.when(F.col("known") & (F.size("groups") < F.col("largest")) & F.col("groups").isNotNull(), "minority_view").otherwise("contested"))
-        .when(F.coalesce("conditional", false), "conditional")
-        .when(F.coalesce("open", false), "unresolved")
-        .when(F.coalesce("clean", F.lit(True)) & (F.size(all_groups) >= 2), "consensus")
-        .otherwise("unresolved")
-    )
-    out = joined.withColumn("status", status)
+    minority = F.col("known") & (F.size("groups") < F.col("largest")) & F.col("groups").isNotNull()
+    out = joined.withColumn("status", status(minority, F.size(all_groups) >= 2))
     support = F.array_sort(F.array_distinct(F.concat("members", F.coalesce("support", none))))
     oppose = F.array_sort(F.array_distinct(F.coalesce("oppose", none)))
     out = out.select("canonical_id", F.col("proposition").alias("text"), "status", support.alias("supporting"), oppose.alias("opposing"), F.when(F.col("status") == "conditional", condition_summary()).alias("condition_summary"))
@@ -137,8 +172,8 @@ def described_disputes(relations: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.select(*found.columns, topic.alias("topic"), shared.alias("shared_assumptions"), differing.alias("differing_assumptions"), reconciliation(settled, F.col("key_variables")).alias("reconciliation"))
 
 
-def disputes(relations: DataFrame) -> DataFrame:
-    """One dispute per conflicting relation: kind, key variables, status."""
+def conflicts(relations: DataFrame) -> DataFrame:
+    """The conflicting relations, with conflict_type and status."""
     has = lambda *names: F.arrays_overlap("conflict_dimensions", F.array(*[F.lit(n) for n in names]))
     t = F.col("relation_type")
     kind = (
@@ -151,11 +186,16 @@ def disputes(relations: DataFrame) -> DataFrame:
         .when(t == "alternative", "scope_mismatch")
         .otherwise("unresolved")
     )
-    rows = relations.where(t.isin(CONFLICT)).withColumn("conflict_type", kind).withColumn("positions", F.array_sort(F.array("l", "r")))
+    settled = t.isin("alternative", "conditional_disagreement")
+    return relations.where(t.isin(CONFLICT)).withColumn("conflict_type", kind).withColumn("status", F.when(settled, "reconciled_conditionally").otherwise("unresolved"))
+
+
+def disputes(relations: DataFrame) -> DataFrame:
+    """One dispute per conflicting relation: kind, key variables, status."""
+    rows = conflicts(relations).withColumn("positions", F.array_sort(F.array("l", "r")))
     strings = lambda a: J.json_array(F.transform(a, J.json_string))
     payload = J.json_object(position_claim_ids=strings("positions"), conflict_type=J.json_string(F.col("conflict_type")), key_variables=strings("conflict_dimensions"))
-    settled = t.isin("alternative", "conditional_disagreement")
-    return rows.select(J.stable_id("dispute", payload).alias("dispute_id"), "positions", "conflict_type", F.col("conflict_dimensions").alias("key_variables"), F.when(settled, "reconciled_conditionally").otherwise("unresolved").alias("status"))
+    return rows.select(J.stable_id("dispute", payload).alias("dispute_id"), "positions", "conflict_type", F.col("conflict_dimensions").alias("key_variables"), "status")
 
 
 def gaps(claims: DataFrame, relations: DataFrame) -> DataFrame:
