@@ -128,8 +128,9 @@ def loss(rule: Column, forecast: Column, value: Column, happened: Column, measur
     )
 
 
-def eligibility(claims: DataFrame) -> DataFrame:
-    """(canonical_id, status, reasons): reasons, in order, why a claim can't be predicted.
+def eligibility(claims: DataFrame, *keep: str) -> DataFrame:
+    """(canonical_id, status, reasons): reasons, in order, why a claim can't be predicted,
+    with the columns of ``claims`` to ``keep``.
 
     The metric is outcome_metric, else ``metric`` or ``target_metric`` of the map
     ``outcome``, and mustn't be blank; the time is time_horizon, temporal_scope
@@ -147,7 +148,7 @@ def eligibility(claims: DataFrame) -> DataFrame:
         (~nonempty(metric), "no_metric"), (dated.isNull(), "no_time"),
     ]
     reasons = F.array_compact(F.array(*[F.when(test, F.lit(reason)) for test, reason in checks]))
-    return have.select("canonical_id", F.when(F.size(reasons) == 0, "eligible").otherwise("ineligible").alias("status"), reasons.alias("reasons"))
+    return have.select("canonical_id", F.when(F.size(reasons) == 0, "eligible").otherwise("ineligible").alias("status"), reasons.alias("reasons"), *keep)
 
 
 def configuration_violations() -> Column:
